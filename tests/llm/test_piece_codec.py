@@ -77,13 +77,13 @@ def darts(entries):
 
 def test_character_map_takes_the_longest_prefix():
     strings, entries = b"", {}
-    for source, target in {"a": "1", "ab": "2", "é": "e", " ": " ", "ff": ""}.items():
+    for source, target in {"a": "1", "ab": "2", "é": "e", " ": " ", "ff": ""}.items():
         entries[source.encode()] = len(strings)
         strings += target.encode() + b"\0"
     trie = darts(entries)
     m = CharMap(len(trie).to_bytes(4, "little") + trie + strings)
     at, out = 0, []
-    text = "abaéb fff".encode()
+    text = "abaéb fff".encode()
     while at < len(text):
         new, n = m.longest(text, at)
         out.append((new.decode(), n))
