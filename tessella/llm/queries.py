@@ -32,6 +32,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query
+def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.quality import judged
+
+    got = judged(table(spark, sf_dir, "documents"), PIECES)
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "fallback_share", "token_entropy")
+
+
 @query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.shingle_join import classes
