@@ -32,6 +32,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.attribution import counted
+
+    got = counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), "first")
+    total = lambda name: F.aggregate("sections", F.lit(0).cast("bigint"), lambda t, s: t + s[name].cast("bigint"))
+    each = F.transform("sections", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["n_tokens"].cast("bigint").cast("string")))
+    return got.select("doc_id", total("n_tokens").alias("n_tokens"), total("n_crossing").alias("n_crossing"), F.size("sections").cast("bigint").alias("n_sections"), F.concat_ws(",", each).alias("section_tokens"))
+
+
 @query
 def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.quality import judged
