@@ -50,6 +50,13 @@ def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "fallback_share", "token_entropy")
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.repeated_bytes import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.shingle_join import classes
