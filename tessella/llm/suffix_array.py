@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Symbols are below 2**_BITS; the first sort is by as many as fit into a number.
+#: The first sort is by as many symbols of so many bits as fit into a number.
 _BITS = 9
 _FIRST = 63 // _BITS
 
 
 def _packed(symbols: np.ndarray) -> np.ndarray:
+    """The first _FIRST symbols of every suffix as a number; the first one alone where symbols are large."""
+    if not _small(symbols):
+        return symbols.astype(np.int64) + 1
     key = np.zeros(len(symbols), np.int64)
     padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(_FIRST, np.int64)])
     for j in range(_FIRST):
@@ -17,8 +20,12 @@ def _packed(symbols: np.ndarray) -> np.ndarray:
     return key
 
 
+def _small(symbols: np.ndarray) -> bool:
+    return not len(symbols) or int(symbols.max()) < (1 << _BITS) - 1
+
+
 def suffix_array(symbols: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Starts of the suffixes in order of their first `depth` symbols (all, if None). Symbols are from 0 to 510.
+    """Starts of the suffixes in order of their first `depth` symbols (all, if None). Symbols are not negative; below 511 seven are sorted at once.
 
     Refinement sorts groups that are still equal by the rank of what follows, doubling what is compared.
     """
@@ -32,7 +39,7 @@ def suffix_array(symbols: np.ndarray, depth: int | None = None) -> np.ndarray:
     head[1:n] = key[1:] != key[:-1]
     rank = np.full(n + 1, -1, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head[:n], np.arange(n), 0))
-    h = _FIRST
+    h = _FIRST if _small(symbols) else 1
     while h < (depth or n):
         at = np.flatnonzero(~(head[:n] & head[1:]))
         if not len(at):
@@ -62,6 +69,7 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, cap: int, stripes: i
     before = np.empty(n, np.int64)
     before[order[0]] = -1
     before[order[1:]] = order[:-1]
+    step = _FIRST if _small(symbols) else 1
     key = np.concatenate([_packed(symbols), np.zeros(cap + _FIRST + 1, np.int64)])
     text = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(cap + _FIRST + 1, np.int64)])
     shared = np.zeros(n, np.int64)
@@ -77,7 +85,7 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, cap: int, stripes: i
         go = np.flatnonzero((j >= 0) & (a < cap))
         while len(go):
             go = go[key[i[go] + a[go]] == key[j[go] + a[go]]]
-            a[go] += _FIRST
+            a[go] += step
             go = go[a[go] < cap]
         go = np.flatnonzero((j >= 0) & (a < cap))
         while len(go):
