@@ -89,6 +89,16 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.native import listed
+    from tessella.llm.personal_data import BASE, spans
+
+    got = spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in BASE]
+    return got.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"))
+
+
 @query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.piece_codec import encoded
