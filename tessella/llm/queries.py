@@ -57,6 +57,16 @@ def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "fallback_share", "token_entropy")
 
 
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.native import listed
+    from tessella.llm.secrets import BASE, spans
+
+    got = spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in BASE]
+    return got.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"))
+
+
 @query
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.repeated_bytes import deduplicated
