@@ -151,14 +151,14 @@ def _beyond(limit: float) -> Callable[[Column], Column]:
 SPAN = "struct<start:int,order:int,kind:string,end:int>"
 
 
-def spans(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """df's id and text with email, ip, card, phone (arrays of start, end, value), `base` and `all` (arrays of SPAN, sorted).
+def spans(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """df's id, text and the columns in `also` (named unlike what follows) with email, ip, card, phone (arrays of start, end, value), `base` and `all` (arrays of SPAN, sorted).
 
     A null or empty text has no spans; equal rows each get a row, a null id stays null, extra columns are
     not read. Positions are code points, ends exclusive. Base spans of different kinds may overlap.
     """
     boosted, limits = model()
-    rows = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    rows = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), *also)
     rows = rows.select("*", *(c.alias(k) for k, c in base(F.col("text")).items()))
     proposed = []
     for k, (kind, pattern) in enumerate(CANDIDATES.items()):

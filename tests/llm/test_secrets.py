@@ -66,7 +66,7 @@ def test_scores(spark):
 def test_random_strings_are_found_and_words_left(spark):
     r = np.random.default_rng(2)
     keys = ["".join(r.choice(list(S.ENCODINGS[3][2]), 44)) for _ in range(200)]
-    words = ["the-quick-brown-fox-jumps-over", "internationalisationalisation", "Page-12-Of-The-Annual-Report-Of-Aaaaaaaaaaaaaaaaaaaaaaa1", "AAAAAAAAAAAAAAAAAAAAAAAAAaaaaaaaaaaaaaaaaaaaaaaaaaa1"]
+    words = ["the-quick-brown-fox-jumps-over", "internationalisationalisation", "Page-12-Of-The-Annual-Report-Of-Aaaaaaaaaaaaaaaaaaaaaaa1", "AAAAAAAAAAAAAAAAAAAAAAAAAzzzzzzzzzzzzzzzzzzzzzzzzzz1"]
     texts = [f"see {k} there" for k in keys] + [f"see {w} there" for w in words * 20]
     rows = {r.doc_id: [(s.kind, s.start, s.end) for s in r["all"]] for r in S.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     assert sum(any(x[0] == "random" for x in rows[i]) for i in range(200)) > 180
