@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.oracle import ORACLE_SQL  # noqa: F401  the driver's entry reads it here
+
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -81,17 +82,6 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(archived(table(spark, sf_dir, "pages")), payloads=False).drop("url", "payload")
 
 
-ORACLE_SQL["op7_warc"] = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
-m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
-FROM m
-"""
-
-
 @query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.shingle_join import classes
