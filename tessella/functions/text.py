@@ -83,3 +83,27 @@ def paths(text: Column) -> Column:
 def split_of(key: Column) -> Column:
     """dev or test by the last hex digit of the key's sha256."""
     return F.when(F.conv(F.right(F.sha2(key, 256), F.lit(1)), 16, 10).cast("int") % 2 == 0, "dev").otherwise("test")
+
+
+#: Controls, bidirectional marks and other characters that can't be seen.
+UNSAFE = "[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f\\x{ad}\\x{180e}\\x{2060}\\x{feff}\\x{61c}\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}\\x{2028}\\x{2029}\\x{2061}-\\x{2064}\\x{fff9}-\\x{fffb}\\x{e0000}-\\x{e007f}]"
+
+
+def safe_text(text: Column) -> Column:
+    """Text in which unsafe characters are spelled out (\\x below U+0100, else \\u): each character that occurs is looked at once."""
+    spell = lambda c: F.when(F.ascii(c) < 256, F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(F.ascii(c))), 2, "0"))).otherwise(F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0")))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(UNSAFE), F.lit(0)))
+    return F.when(text.rlike(UNSAFE), F.aggregate(found, text, lambda t, c: F.replace(t, c, spell(c)))).otherwise(text)
+
+
+def looks_failed(native: Column, text: Column) -> Column:
+    """Whether a tool's result is a failure: what it says of itself, else exit codes, counts and phrases."""
+    said = F.get_json_object(native, "$.is_error")
+    guess = text.rlike(r"(?i)\bexit(?:ed with)? (?:code|status) [1-9]|\b[1-9]\d* (?:failed|errors?)\b|\btraceback \(most recent call last\)|\bcommand not found\b|\bfatal: ")
+    return F.coalesce(said == "true", guess, F.lit(False))
+
+
+def qa_verdict(answer: Column) -> Column:
+    """A judge's yes or no: of a JSON object its correct field, else whether the text says yes."""
+    field = F.lower(F.get_json_object(F.regexp_extract(answer, r"(\{[^{}]*\})", 1), "$.correct"))
+    return F.coalesce(field.isin("true", "yes"), F.contains(F.lower(answer), F.lit("yes")), F.lit(False))

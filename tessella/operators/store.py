@@ -34,7 +34,7 @@ def segment_bytes(segments: DataFrame, files: DataFrame) -> DataFrame:
 
 def joined(segments: DataFrame, files: DataFrame) -> DataFrame:
     """key, content: bytes of each generation in order of its segments (a generation is one file, and fits a row)."""
-    rows = segments.join(files.select("path", "content"), "path")
+    rows = segments.select("key", "start", "path").join(files.select("path", "content"), "path")
     parts = F.array_sort(F.collect_list(F.struct("start", "path", "content")))
     return rows.groupBy("key").agg(F.aggregate(parts, F.to_binary(F.lit(""), F.lit("hex")), lambda t, p: F.concat(t, p["content"])).alias("content"))
 
