@@ -11,6 +11,7 @@ Words are the runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,18 +212,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_co
     Null and empty texts have no words. Ids of docs must be distinct where the benchmark needs more than
     one block; with one block repeated rows each get a row. Extra columns are not read.
     """
-    parts = list(blocks(benchmark, item_id, item_text, block_bytes))
-    if not parts:
-        parts = [pd.DataFrame({"id": np.zeros(0, np.int64), "text": np.zeros(0, object)})]
-    wanted = np.unique(np.concatenate([words(*C.text_bytes(pa.array(p["text"], pa.string())))[0] for p in parts]))
-    segments = stored(indexed(docs, id_column, text_column, wanted if wanted.nbytes <= 8 * block_bytes else None), "postings", maxRecordsPerFile="16")
-    found = [searched(segments, p, length) for p in parts]
-    if len(found) == 1:
-        out = found[0].select("id", "n_words", total(F.col("starts"), F.col("ends")).alias("n_hit"), "items")
+    if not 0 < length <= GAP:
+        raise ValueError(f"length: from 1 to {GAP}")
+    parts = blocks(benchmark, item_id, item_text, block_bytes)
+    first = next(parts, pd.DataFrame({"id": np.zeros(0, np.int64), "text": np.zeros(0, object)}))
+    second = next(parts, None)
+    if second is None:
+        wanted = np.unique(words(*C.text_bytes(pa.array(first["text"], pa.string())))[0])
+        segments = stored(indexed(docs, id_column, text_column, wanted), "postings", maxRecordsPerFile="16")
+        out = searched(segments, first, length).select("id", "n_words", total(F.col("starts"), F.col("ends")).alias("n_hit"), "items")
     else:
-        every = found[0]
-        for f in found[1:]:
-            every = every.unionByName(f)
+        # One index for all blocks; each block's hits are written, and only one block is held at a time.
+        segments = stored(indexed(docs, id_column, text_column), "postings", maxRecordsPerFile="16")
+        every = searched(segments, first, length)
+        for part in itertools.chain([second], parts):
+            every = every.unionByName(stored(searched(segments, part, length).where(F.size("items") > 0), "hits"))
         spans = F.array_sort(F.flatten(F.collect_list(F.transform(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))))
         out = every.groupBy("id").agg(F.max("n_words").alias("n_words"), _union_size(spans).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return out.withColumnRenamed("id", id_column)
