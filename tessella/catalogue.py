@@ -577,3 +577,85 @@ def live_window(spark, sf_dir):
     b = blocks(spark, sf_dir)
     cut = b.groupBy("session_key").agg(F.max(F.when(F.col("role") == "user", F.col("byte_offset"))).alias("cut"))
     return S.search(b, ASKED, 40).join(cut, "session_key").where("byte_offset >= cut").select("rank", "session_key", "byte_offset")
+
+
+# Records
+
+@query(f"WITH {_USE} SELECT session_id, arg_min(model, seq) FILTER (model IS NOT NULL) AS model, COALESCE(arg_min(request_id, seq) FILTER (request_id IS NOT NULL), session_id) AS first_request FROM u GROUP BY session_id")
+def session_fallback(spark, sf_dir):
+    at = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+    return usage(spark, sf_dir).groupBy("session_id").agg(at("model").alias("model"), F.coalesce(at("request_id"), F.col("session_id")).alias("first_request"))
+
+
+@query(f"WITH {_USE}, f AS (SELECT session_id, request_id, min(byte_offset) AS first_offset FROM u WHERE request_id IS NOT NULL GROUP BY 1, 2) SELECT u.session_id, seq, u.request_id, first_offset FROM u LEFT JOIN f ON u.session_id = f.session_id AND u.request_id = f.request_id")
+def pointer_resolve(spark, sf_dir):
+    u = usage(spark, sf_dir).select("session_id", "seq", "request_id", "byte_offset")
+    first = u.where("request_id is not null").groupBy("session_id", "request_id").agg(F.min("byte_offset").alias("first_offset"))
+    return u.drop("byte_offset").join(first, ["session_id", "request_id"], "left")
+
+
+@query("SELECT event_id, COALESCE(regexp_extract(props, '\"k\": ?([0-9]+)', 1), '') AS k, CASE WHEN regexp_matches(props, '\"k\": ?[0-9]+') THEN 'number' ELSE 'other' END AS kind FROM events")
+def type_guard(spark, sf_dir):
+    k = F.get_json_object("props", "$.k")
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(k, F.lit("")).alias("k"), F.when(k.rlike("^[0-9]+$"), "number").otherwise("other").alias("kind"))
+
+
+@query("SELECT conv_id, turn, text || '\\x1b[2K\\u202e' AS safe FROM conversations")
+def safe_text(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.safe_text(F.concat("text", F.lit("\x1b[2K\u202e"))).alias("safe"))
+
+
+@query(f"WITH {_USE}, n AS (SELECT session_id, seq, agent, lead(seq) OVER (PARTITION BY session_id ORDER BY seq) AS next_seq, lead(role) OVER (PARTITION BY session_id ORDER BY seq) AS next_role FROM u) SELECT session_id, seq, next_seq FROM n WHERE agent = 'error' AND next_role = 'assistant'")
+def post_failure_slice(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("session_id").orderBy("seq")
+    rows = usage(spark, sf_dir).select("session_id", "seq", "agent", F.lead("seq").over(w).alias("next_seq"), F.lead("role").over(w).alias("next_role"))
+    return rows.where("agent = 'error' and next_role = 'assistant'").select("session_id", "seq", "next_seq")
+
+
+@query("SELECT COALESCE(lang, 'all') AS type, count(*) AS n, round(avg(CAST(quality AS DOUBLE)), 6) AS accuracy FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang), ())")
+def qa_summary(spark, sf_dir):
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return both.groupingSets([["lang"], []], "lang").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("accuracy")).select(F.coalesce("lang", F.lit("all")).alias("type"), "n", "accuracy")
+
+
+@query(f"""WITH l AS ({_PRED}), c AS (SELECT count(*) FILTER (good AND quality = 1) AS tp, count(*) FILTER (good AND quality = 0) AS fp, count(*) FILTER (NOT good AND quality = 1) AS fn, count(*) FILTER (good AND toxic = 1 AND quality = 0) AS toxic_fp FROM l)
+SELECT *, round(CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END, 6) AS "precision", round(CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END, 6) AS recall FROM c""")
+def census_score(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select("quality", "toxic", ((F.col("doc_id") * 7) % 5 > 0).alias("good"))
+    n = lambda c: F.count(F.when(F.expr(c), 1))
+    counts = rows.agg(n("good and quality = 1").alias("tp"), n("good and quality = 0").alias("fp"), n("not good and quality = 1").alias("fn"), n("good and toxic = 1 and quality = 0").alias("toxic_fp"))
+    share = lambda b: F.round(F.coalesce(F.try_divide("tp", F.col("tp") + F.col(b)), F.lit(1.0)), 6)
+    return counts.withColumn("precision", share("fp")).withColumn("recall", share("fn"))
+
+
+@query(_COS + " SELECT CASE WHEN GROUPING(query) = 1 THEN -1 ELSE query END AS query, count(*) AS n, round(max(score), 6) AS best, round(avg(score), 6) AS mean FROM r WHERE rank <= 20 GROUP BY GROUPING SETS ((query), ())")
+def arm_summary(spark, sf_dir):
+    near = _dense(spark, sf_dir).where("rank <= 20")
+    got = near.groupingSets([["query"], []], "query").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"))
+    return got.select(F.coalesce("query", F.lit(-1)).alias("query"), "n", "best", "mean")
+
+
+@query(f"WITH {_USE} SELECT session_id, CAST(sum(COALESCE(try_cast(regexp_extract(usage, '\"output_tokens\": ([0-9]+)', 1) AS BIGINT), 0)) AS BIGINT) AS total FROM (SELECT session_id, max_by(usage, byte_offset) AS usage FROM u WHERE usage <> '{{}}' GROUP BY session_id, session_key, COALESCE('req:' || request_id, 'off:' || byte_offset)) GROUP BY session_id")
+def rollup_usage(spark, sf_dir):
+    u = usage(spark, sf_dir)
+    owner = u.select("session_key", "session_id").distinct()
+    got = views.billable_usage(u).where("counter = 'output_tokens'").join(owner, "session_key")
+    return got.groupBy("session_id").agg(F.sum("total").alias("total"))
+
+
+@query("SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_hourly(spark, sf_dir):
+    """Events as a stream of files, counted by hour with a watermark; each micro-batch replaces the table."""
+    import uuid
+
+    schema = table(spark, sf_dir, "events").schema
+    place = f"{spark.conf.get('spark.sql.warehouse.dir')}/stream-{uuid.uuid4().hex}"
+    # A pattern, as a stream takes no single file for its path.
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    hourly = rows.withWatermark("ts", "1 hour").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    hourly = hourly.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "n", "total")
+    write = lambda df, _: df.write.mode("overwrite").parquet(f"{place}/table")
+    hourly.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/table")

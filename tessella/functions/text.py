@@ -54,10 +54,15 @@ def bounded_id(value: Column, limit: int = 128, head: int = 110) -> Column:
 
 
 def utc(ts: Column) -> Column:
-    """A timestamp of text that begins with a year; null where it can't be read. The session's zone must be UTC."""
+    """A timestamp of text that begins with a year; null where it can't be read. Text without an offset is in the session's zone, which is UTC in production."""
     return F.when(ts.rlike(r"^\d{4}-"), F.try_to_timestamp(ts))
 
 
+def utc_format(at: Column, form: str) -> Column:
+    """A timestamp's wall clock in UTC, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), form)
+
+
 def recall_line(text: Column, width: int = 160) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 1, width)
 

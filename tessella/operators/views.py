@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import utc
+from tessella.functions.text import utc, utc_format
 
 TOKENS = ("input_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "output_tokens")
 
@@ -20,7 +20,7 @@ def corpus(generations: DataFrame) -> DataFrame:
 def growth(turns: DataFrame) -> DataFrame:
     """Turns and bytes by UTC day and agent; timestamps that can't be read are left out."""
     at = utc(F.col("ts"))
-    return turns.withColumn("at", at).where("at is not null").groupBy(F.date_format("at", "yyyy-MM-dd").alias("day"), "agent").agg(F.count("*").alias("turns"), F.sum("byte_len").alias("bytes"))
+    return turns.withColumn("at", at).where("at is not null").groupBy(utc_format(F.col("at"), "yyyy-MM-dd").alias("day"), "agent").agg(F.count("*").alias("turns"), F.sum("byte_len").alias("bytes"))
 
 
 def contiguity(generations: DataFrame) -> DataFrame:

@@ -122,4 +122,4 @@ def _reranked(hits: DataFrame, *order: Column) -> DataFrame:
 
 def recall(blocks: DataFrame, query: str, k: int = 10, policy: str = "latest-user") -> DataFrame:
     hits = POLICIES[policy](search(blocks, query, k))
-    return hits.select("place", "rank", "session_key", "byte_offset", F.date_format(T.utc(F.col("ts")), "yyyy-MM-dd'T'HH:mm'Z'").alias("at"), T.recall_line(F.col("prose")).alias("line"))
+    return hits.select("place", "rank", "session_key", "byte_offset", T.utc_format(T.utc(F.col("ts")), "yyyy-MM-dd'T'HH:mm'Z'").alias("at"), T.recall_line(F.col("prose")).alias("line"))
