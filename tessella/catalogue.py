@@ -372,7 +372,7 @@ def dense_seq(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("session_id").orderBy("byte_offset")
-    return usage(spark, sf_dir).select("session_id", "seq", (F.row_number().over(w) - 1).alias("place"))
+    return usage(spark, sf_dir).select("session_id", "seq", (F.row_number().over(w) - 1).cast("bigint").alias("place"))
 
 
 @query()
@@ -489,11 +489,11 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "embeddings")
     asked = e.where(F.col("vec_id") < ASKED_VECTORS).select("vec_id", "embedding").orderBy("vec_id").collect()
-    every = F.array(*(F.struct(F.lit(q.vec_id).alias("query"), F.array(*(F.lit(float(x)) for x in q.embedding)).alias("e")) for q in asked)) if asked else F.array().cast("array<struct<query:bigint,e:array<double>>>")
+    every = F.array(*(F.struct(F.lit(q.vec_id).cast("bigint").alias("query"), F.array(*(F.lit(float(x)) for x in q.embedding)).alias("e")) for q in asked)) if asked else F.array().cast("array<struct<query:bigint,e:array<double>>>")
     rows = e.select(F.col("vec_id").alias("item"), "embedding", F.explode(every).alias("q")).where("q.query <> item")
     scored = rows.select("q.query", "item", F.round(evaluate.cosine(F.col("q.e"), F.col("embedding")), 6).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "item")
-    return scored.withColumn("rank", F.row_number().over(w))
+    return scored.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 @query(_COS + " SELECT query, item, rank, score FROM r WHERE rank <= 10")
@@ -508,7 +508,7 @@ def _arms(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     from pyspark.sql import Window
 
     near = _dense(spark, sf_dir).where("rank <= 40").select("query", "item", "rank")
-    return [near.where("rank <= 20"), near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("item")))]
+    return [near.where("rank <= 20"), near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("item")).cast("bigint"))]
 
 
 @query(_ARMS + ", f AS (SELECT query, item, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2) SELECT query, item, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, item) AS rank FROM f")
@@ -554,7 +554,7 @@ def metrics_grouping_sets(spark, sf_dir):
 _PRED = "SELECT quality, toxic, (doc_id * 7) % 5 > 0 AS good, doc_id % 6 = 0 AS bad FROM labels"
 
 
-@query(f"""WITH l AS ({_PRED}), p AS (SELECT CAST(good AS INT) AS q, CAST(bad AS INT) AS t, count(*) AS predicted FROM l GROUP BY 1, 2), g AS (SELECT quality AS q, toxic AS t, count(*) AS gold FROM l GROUP BY 1, 2),
+@query(f"""WITH l AS ({_PRED}), p AS (SELECT CAST(good AS BIGINT) AS q, CAST(bad AS BIGINT) AS t, count(*) AS predicted FROM l GROUP BY 1, 2), g AS (SELECT quality AS q, toxic AS t, count(*) AS gold FROM l GROUP BY 1, 2),
 m AS (SELECT COALESCE(predicted, 0) AS predicted, COALESCE(gold, 0) AS gold, q FROM p FULL JOIN g USING (q, t))
 SELECT q, CAST(sum(predicted) AS BIGINT) AS predicted, CAST(sum(gold) AS BIGINT) AS gold, CAST(sum(least(predicted, gold)) AS BIGINT) AS "right", round(sum(least(predicted, gold)) / sum(predicted), 6) AS "precision", round(sum(least(predicted, gold)) / sum(gold), 6) AS recall FROM m GROUP BY q""")
 def precision_recall_multiset(spark, sf_dir):
@@ -634,7 +634,7 @@ def census_score(spark, sf_dir):
 def arm_summary(spark, sf_dir):
     near = _dense(spark, sf_dir).where("rank <= 20")
     got = near.groupingSets([["query"], []], "query").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"))
-    return got.select(F.coalesce("query", F.lit(-1)).alias("query"), "n", "best", "mean")
+    return got.select(F.coalesce("query", F.lit(-1).cast("bigint")).alias("query"), "n", "best", "mean")
 
 
 @query(f"WITH {_USE} SELECT session_id, CAST(sum(COALESCE(try_cast(regexp_extract(usage, '\"output_tokens\": ([0-9]+)', 1) AS BIGINT), 0)) AS BIGINT) AS total FROM (SELECT session_id, max_by(usage, byte_offset) AS usage FROM u WHERE usage <> '{{}}' GROUP BY session_id, session_key, COALESCE('req:' || request_id, 'off:' || byte_offset)) GROUP BY session_id")

@@ -29,7 +29,7 @@ def fused(arms: list[DataFrame], query: str, item: str, depth: int = 60) -> Data
         every = every.unionByName(a.select(query, item, "rank"))
     got = every.groupBy(query, item).agg(F.sum(1.0 / (F.lit(float(depth)) + F.col("rank"))).alias("score"))
     w = Window.partitionBy(query).orderBy(F.desc(F.round("score", 12)), item)
-    return got.withColumn("rank", F.row_number().over(w))
+    return got.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -95,7 +95,7 @@ def search(blocks: DataFrame, query: str, k: int = 10, weights: dict[str, float]
     order = ["score", "session_key", "byte_offset", "block_seq"]
     top = hits.orderBy(*order).limit(max(k, 0))
     # At most k rows are ranked, after the limit.
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
 def latest(hits: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ POLICIES = {"latest": latest, "latest-user": latest_user, "relevance": relevance
 
 def _reranked(hits: DataFrame, *order: Column) -> DataFrame:
     """hits are bounded by the search's k."""
-    return hits.withColumn("place", F.row_number().over(Window.orderBy(*order, "rank")))
+    return hits.withColumn("place", F.row_number().over(Window.orderBy(*order, "rank")).cast("bigint"))
 
 
 def recall(blocks: DataFrame, query: str, k: int = 10, policy: str = "latest-user") -> DataFrame:
