@@ -7,7 +7,8 @@ cover is boilerplate. What the article itself shares with other pages (quotation
 text and is reported beside it.
 
 Hosts meet in shards of bounded size. Pages of a large host are dealt to several shards by page; those
-shards then tell each other, through buckets, the hashes of their runs of MIN_WORDS words.
+shards then tell each other, through buckets, the hashes of their runs of MIN_WORDS words. Every page
+goes through one suffix array.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,91 +29,112 @@ MIN_WORDS = 6
 #: Part of an unmarked block's words, in percent, from which shared runs make it boilerplate.
 COVERED = 50
 #: Page source of a shard, and run hashes of a bucket: what one task holds.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 BUCKET_RUNS = 2 << 20
 
-PARSED = "id bigint, url string, g bigint, host string, k bigint, texts array<string>, places array<string>"
+PACKED = "g bigint, pages binary"
 EXTRACTED = "id bigint, url string, text string, n_chars bigint, n_blocks bigint, n_shared_words bigint, unique_text string"
+PAGE = pa.schema([("id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("large", pa.bool_()), ("texts", pa.list_(pa.string())), ("places", pa.list_(pa.int8()))])
+PLACES = [CHROME, OPEN, MAIN]
+#: Page source whose parsed pages are compressed together, and bytes of a run's hash that buckets compare beside its bucket.
+PACK_BYTES = 6 << 20
+KEY_BYTES = 5
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in C.pieces(batches, "html"):
+    """Pages in blocks, by shard: rows of PACKED, each a compressed table of PAGE."""
+    for batch in C.pieces(batches, "html", PACK_BYTES):
         found = [blocks(x) for x in batch.column("html").to_pylist()]
         texts = pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string()))
-        places = pa.array([[p for _, p in x] for x in found], pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "url", "g", "host", "k")), texts, places], [x.split()[0] for x in PARSED.split(", ")])
+        places = pa.array([[PLACES.index(p) for _, p in x] for x in found], pa.list_(pa.int8()))
+        pages = pa.table([batch.column("id"), batch.column("url"), batch.column("host"), pc.greater(batch.column("k"), 1), texts, places], schema=PAGE)
+        g = np.asarray(batch.column("g"), np.int64)
+        order = np.argsort(g, kind="stable")
+        names, first = np.unique(g[order], return_index=True)
+        blobs = []
+        for rows in np.split(order, first[1:]):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, PAGE, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(pages.take(rows).combine_chunks())
+            blobs.append(out.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], ["g", "pages"])
+
+
+def _unpacked(table: pa.Table) -> pa.Table:
+    parts = [pa.ipc.open_stream(x).read_all() for x in table.column("pages").to_pylist()]
+    return pa.concat_tables(parts).combine_chunks() if parts else PAGE.empty_table()
 
 
 class Shard:
-    """Words of the shard's pages, and for each window of words whether distinct pages of its host share it."""
-
-    def __init__(self, table: pa.Table, min_words: int):
-        table = table.combine_chunks()
-        self.table, self.width = table, min_words
-        texts = table.column("texts").combine_chunks()
-        counts = np.diff(np.asarray(texts.offsets)) if len(texts) else np.zeros(0, np.int64)
-        flat = texts.flatten()
-        data, offsets = C.text_bytes(flat)
-        starts, ends, first = C.tokens(data, offsets, C.NOT_SPACE6)
-        self.block_first, self.starts, self.ends, self.data, self.offsets = first, starts, ends, data, offsets
+    """Words of a shard's pages and their windows of min_words words."""
+
+    def __init__(self, pages: pa.Table, min_words: int):
+        self.pages, self.width = pages, min_words
+        texts = pages.column("texts").combine_chunks() if pages.num_rows else pa.array([], pa.list_(pa.string()))
+        counts = np.asarray(pc.list_value_length(texts), np.int64)
+        self.data, self.offsets = C.text_bytes(texts.flatten())
+        self.starts, self.ends, self.block_first = C.tokens(self.data, self.offsets, C.NOT_SPACE6)
         self.page_block = np.concatenate([[0], np.cumsum(counts)])
-        page_word = first[self.page_block]
-        words = C.range_hash(C.prefix_hash(data), starts, ends)
-        hosts = np.array([hash_text(x) for x in table.column("host").to_pylist()], np.uint64)
-        own = np.repeat(np.arange(len(counts)), np.diff(page_word))
-        words = C.mix(words ^ hosts[own])
-        self.n = len(words)
-        # Pages in a row, each followed by a separator.
-        names, ids = np.unique(words, return_inverse=True)
-        text = np.zeros(self.n + len(counts), np.int64)
-        place = np.arange(self.n) + own
-        text[place] = ids + 1
-        full = np.diff(page_word) - min_words + 1
-        page, nth = C.expand(np.maximum(full, 0))
-        self.window, self.page = page_word[page] + nth, page
-        order = suffix_array(text, min_words)
-        shared = common_prefixes(text, order, min_words)
+        self.page_word = self.block_first[self.page_block]
+        hosts = np.array([hash_text(x) for x in pages.column("host").to_pylist()], np.uint64)
+        own = np.repeat(np.arange(len(counts)), np.diff(self.page_word))
+        self.words = C.mix(C.range_hash(C.prefix_hash(self.data), self.starts, self.ends) ^ hosts[own])
+        self.page, nth = C.expand(np.maximum(np.diff(self.page_word) - min_words + 1, 0))
+        self.window = self.page_word[self.page] + nth
+        self.shared = np.zeros(len(self.window), bool)
+        self.large = np.asarray(pages.column("large").to_pandas(), bool)
+
+    def compare(self, pages: np.ndarray) -> None:
+        """Marks the windows that distinct ones of the given pages (a mask) share, by a suffix array over their words, page after page with a separator."""
+        counts = np.diff(self.page_word)
+        own = np.repeat(np.arange(len(counts)), counts)
+        use = pages[own]
+        if not use.any():
+            return
+        _, ids = np.unique(self.words[use], return_inverse=True)
+        place = np.full(len(own), -1, np.int64)
+        before = np.cumsum(pages) - 1
+        place[use] = np.arange(len(ids)) + before[own[use]]
+        text = np.zeros(len(ids) + int(pages.sum()), np.int64)
+        text[place[use]] = ids + 1
+        order = suffix_array(text, self.width)
         group = np.empty(len(text), np.int64)
-        group[order] = np.cumsum(shared < min_words)
-        self.group = group[place[self.window]] if self.n else np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([self.group, page], 1), axis=0)
-        several = np.bincount(pairs[:, 0], minlength=int(self.group.max(initial=0)) + 1) > 1
-        self.shared = several[self.group]
-        sums = C.prefix_hash(words)
-        self.key = C.range_hash(sums, self.window, self.window + min_words)
-        self.large = np.array(table.column("k").to_pylist(), np.int64)[page] > 1 if len(page) else np.zeros(0, bool)
-
-    def asked(self) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, whether pages of this shard share it) of a large host's windows, distinct and ascending."""
-        keys, at = np.unique(self.key[self.large], return_index=True)
-        return keys, self.shared[self.large][at]
-
-    def covered(self) -> np.ndarray:
-        """For each word whether a shared run covers it."""
-        cover = np.zeros(self.n + 1, np.int64)
-        np.add.at(cover, self.window[self.shared], 1)
-        np.add.at(cover, self.window[self.shared] + self.width, -1)
-        return np.cumsum(cover)[:-1] > 0
+        group[order] = np.cumsum(common_prefixes(text, order, self.width) < self.width)
+        mine = np.flatnonzero(pages[self.page])
+        group = group[place[self.window[mine]]]
+        # Of each group the lowest and the highest page: they differ if two pages share it.
+        low, high = np.full(len(text) + 1, len(counts)), np.full(len(text) + 1, -1)
+        np.minimum.at(low, group, self.page[mine])
+        np.maximum.at(high, group, self.page[mine])
+        self.shared[mine] = (low != high)[group]
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(places in window, hashes) of the windows of large hosts' pages."""
+        at = np.flatnonzero(self.large[self.page]) if len(self.page) else np.zeros(0, np.int64)
+        return at, C.range_hash(C.prefix_hash(self.words), self.window[at], self.window[at] + self.width)
 
     def extracted(self) -> pa.Table:
-        covered = self.covered()
+        cover = np.zeros(len(self.words) + 1, np.int64)
+        np.add.at(cover, self.window[self.shared], 1)
+        np.add.at(cover, self.window[self.shared] + self.width, -1)
+        covered = np.cumsum(cover)[:-1] > 0
         hits, sizes = C.per_owner(self.block_first, covered), np.diff(self.block_first)
-        ids, urls = self.table.column("id"), self.table.column("url")
         raw, rows = self.data.tobytes(), []
-        for p, places in enumerate(self.table.column("places").to_pylist()):
+        for p, places in enumerate(self.pages.column("places").to_pylist()):
             base = int(self.page_block[p])
-            marked = MAIN in places
-            keep = [base + k for k, x in enumerate(places) if (x == MAIN if marked else x == OPEN and 100 * hits[base + k] < COVERED * max(1, sizes[base + k]))]
+            marked = 2 in places
+            keep = [base + k for k, x in enumerate(places) if (x == 2 if marked else x == 1 and 100 * hits[base + k] < COVERED * max(1, sizes[base + k]))]
             text = "\n".join(raw[self.offsets[b] : self.offsets[b + 1]].decode() for b in keep)
             alone = []
             for b in keep:
                 i, j = self.block_first[b], self.block_first[b + 1]
-                words = [raw[self.starts[w] : self.ends[w]].decode() for w in range(i, j) if not covered[w]]
-                if words:
-                    alone.append(" ".join(words))
+                if not hits[b]:
+                    alone.append(raw[self.offsets[b] : self.offsets[b + 1]].decode())
+                elif hits[b] < j - i:
+                    alone.append(" ".join(raw[self.starts[w] : self.ends[w]].decode() for w in range(i, j) if not covered[w]))
             rows.append((text, len(text), len(keep), int(hits[keep].sum()), "\n".join(alone)))
         types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        return pa.table([ids, urls, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=[x.split()[0] for x in EXTRACTED.split(", ")])
+        return pa.table([self.pages.column("id"), self.pages.column("url"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=[x.split()[0] for x in EXTRACTED.split(", ")])
 
 
 def hash_text(text: str | None) -> int:
@@ -119,43 +142,86 @@ def hash_text(text: str | None) -> int:
     return int(C.range_hash(C.prefix_hash(data), np.array([0]), np.array([len(data)]))[0])
 
 
+def _dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys by bucket and value, edges of the buckets, place of each key among them)."""
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    bucket = ((distinct & np.uint64(0xFFFFFF)) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], np.searchsorted(bucket[order], np.arange(n + 1)), place[inverse]
+
+
 def _ask(min_words: int, n: int):
+    """Of the pages of large hosts, which alone are looked at here: for each bucket the runs' hashes, and whether pages of this shard share them."""
+
     def run(table: pa.Table) -> pa.Table:
-        keys, shared = Shard(table, min_words).asked()
-        bucket = (keys % np.uint64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(n + 1))
+        pages = _unpacked(table)
+        s = Shard(pages.filter(pages.column("large")).combine_chunks(), min_words)
+        s.compare(s.large)
+        at, keys = s.keys()
+        distinct, edges, place = _dealt(keys, n)
+        shared = np.zeros(len(distinct), bool)
+        shared[place[s.shared[at]]] = True
+        short = (distinct >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
         rows = [b for b in range(n) if edges[b] < edges[b + 1]]
-        part = lambda x: pa.array([x[order[edges[b] : edges[b + 1]]].tobytes() for b in rows], pa.binary())
         g = table.column("g")[0].as_py()
-        return pa.table({"g": pa.array([g] * len(rows), pa.int64()), "b": pa.array(rows, pa.int64()), "keys": part(keys), "shared": part(shared)})
+        return pa.table(
+            {
+                "g": pa.array([g] * len(rows), pa.int64()),
+                "b": pa.array(rows, pa.int64()),
+                "keys": pa.array([short[edges[b] : edges[b + 1]].tobytes() for b in rows], pa.binary()),
+                "shared": pa.array([np.packbits(shared[edges[b] : edges[b + 1]]).tobytes() for b in rows], pa.binary()),
+            }
+        )
 
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """For each shard the keys of a bucket that pages of two shards, or two pages of one, share."""
-    parts = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    shared = np.concatenate([np.frombuffer(x, bool) for x in table.column("shared").to_pylist()])
+    """For each shard a bit for each of its hashes: whether pages of two shards, or two pages of one, share it."""
+    parts = []
+    for x in table.column("keys").to_pylist():
+        wide = np.zeros((len(x) // KEY_BYTES, 8), np.uint8)
+        wide[:, :KEY_BYTES] = np.frombuffer(x, np.uint8).reshape(-1, KEY_BYTES)
+        parts.append(wide.view("<u8").ravel())
+    shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(table.column("shared").to_pylist(), parts, strict=True)]).astype(bool)
     _, place, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     known = counts > 1
     known[place[shared]] = True
     hit = known[place]
     ends = np.cumsum([len(p) for p in parts])
-    return pa.table({"g": table.column("g"), "keys": pa.array([p[hit[e - len(p) : e]].tobytes() for p, e in zip(parts, ends, strict=True)], pa.binary())})
+    return pa.table({"g": table.column("g"), "b": table.column("b"), "bits": pa.array([np.packbits(hit[e - len(p) : e]).tobytes() for p, e in zip(parts, ends, strict=True)], pa.binary())})
+
+
+def _finish(min_words: int, n: int):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        s = Shard(_unpacked(table), min_words)
+        s.compare(~s.large)
+        at, keys = s.keys()
+        distinct, edges, place = _dealt(keys, n)
+        known = np.zeros(len(distinct), bool)
+        for b, bits in zip(answers.column("b").to_pylist(), answers.column("bits").to_pylist(), strict=True):
+            known[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(edges[b + 1] - edges[b]))
+        s.shared[at] = known[place]
+        return s.extracted()
+
+    return run
 
 
-def _finish(min_words: int):
-    def run(pages: pa.Table, answers: pa.Table) -> pa.Table:
-        s = Shard(pages, min_words)
-        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in answers.column("keys").to_pylist())]))
-        if len(known):
-            s.shared = s.shared | s.large & (known[np.minimum(np.searchsorted(known, s.key), len(known) - 1)] == s.key)
+def _alone(min_words: int):
+    def run(table: pa.Table) -> pa.Table:
+        s = Shard(_unpacked(table), min_words)
+        s.compare(np.ones(s.pages.num_rows, bool))
         return s.extracted()
 
     return run
 
 
+#: Large hosts that are sent to every task; more of them are joined by name.
+BROADCAST_HOSTS = 100_000
+
+
 def extracted(df: DataFrame, min_words: int = MIN_WORDS, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """id, url, text, n_chars, n_blocks, n_shared_words (words of the text in runs that other pages of the host have too) and unique_text (the text without those runs) for every row of df.
 
@@ -168,17 +234,18 @@ def extracted(df: DataFrame, min_words: int = MIN_WORDS, id_column: str = "page_
     pages = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"), host.alias("host"))
     sizes = pages.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 64).alias("bytes"))
     large = sizes.where(F.col("bytes") > shard_bytes).select("host", F.ceil(F.col("bytes") / shard_bytes).cast("bigint").alias("k"))
-    total, most = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
-    n = max(1, -(-total // shard_bytes))
-    pages = pages.join(large, "host", "left").withColumn("k", F.coalesce("k", F.lit(1)).cast("bigint"))
+    total, most, several = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0)), F.count(F.when(F.col("bytes") > shard_bytes, 1))).first()
+    # More shards than needed: two large hosts seldom meet in one.
+    n = max(1, -(-4 * total // shard_bytes))
+    pages = pages.join(F.broadcast(large) if several <= BROADCAST_HOSTS else large, "host", "left").withColumn("k", F.coalesce("k", F.lit(1)).cast("bigint"))
     salt = F.pmod(F.xxhash64("id", F.substring("html", 1, 64)), F.col("k"))
     pages = pages.withColumn("g", F.pmod(F.xxhash64("host", salt), F.lit(n)))
-    cut = pages.select("id", "url", "g", "host", "k", "html").mapInArrow(_parsed, PARSED)
+    packed = pages.select("id", "url", "g", "host", "k", "html").mapInArrow(_parsed, PACKED)
     if most <= shard_bytes:
-        out = cut.groupBy("g").applyInArrow(lambda t: Shard(t, min_words).extracted(), EXTRACTED)
+        out = packed.groupBy("g").applyInArrow(_alone(min_words), EXTRACTED)
     else:
-        buckets = max(16, -(-total // 6 // BUCKET_RUNS))
-        asked = cut.groupBy("g").applyInArrow(_ask(min_words, buckets), "g bigint, b bigint, keys binary, shared binary")
-        answers = asked.groupBy("b").applyInArrow(_answer, "g bigint, keys binary")
-        out = cut.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_finish(min_words), EXTRACTED)
+        buckets = max(64, -(-total // 6 // BUCKET_RUNS))
+        asked = packed.groupBy("g").applyInArrow(_ask(min_words, buckets), "g bigint, b bigint, keys binary, shared binary")
+        answers = asked.groupBy("b").applyInArrow(_answer, "g bigint, b bigint, bits binary")
+        out = packed.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_finish(min_words, buckets), EXTRACTED)
     return out.withColumnRenamed("id", id_column).withColumnRenamed("url", url_column)
