@@ -129,7 +129,9 @@ def model() -> tuple[Boosted, dict[str, float]]:
         own = x[:, k] == 1
         order = np.argsort(-p[own])
         right = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
-        good = np.flatnonzero(right >= PRECISION)
+        # Equal probabilities are taken together.
+        last = np.append(np.diff(p[own][order]) != 0, True)
+        good = np.flatnonzero((right >= PRECISION) & last)
         limits[kind] = max(0.5, float(p[own][order][good[-1]])) if len(good) else 1.0
     return boosted, limits
 
