@@ -157,14 +157,16 @@ def planned(df: DataFrame, id_column: str = "page_id", url_column: str = "url",
     """id, url, payload (binary), digest and refers_to of every row: of equal payloads of LEAST_REVISIT bytes or more the largest id is referred to by the others.
 
     Digests are counted before they meet, and only digests that occur again are joined back, to rows
-    without payloads; payloads move once, by id. Ids must be distinct; rows without an id are responses.
+    without payloads; payloads move once, by id and digest. Rows that share an id are judged each by its own
+    payload, so equal rows are all responses or all revisits; a revisit means the payload of its digest
+    among those of the id referred to. Rows without an id are responses.
     """
     payload = F.coalesce(F.col(payload_column).cast("string").cast("binary"), F.lit(b""))
     rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(url_column).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     light = rows.where((F.octet_length("payload") >= LEAST_REVISIT) & F.col("id").isNotNull()).select("id", "digest")
     again = light.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = light.join(again, "digest").where("id <> refers_to").select("id", "refers_to")
-    return rows.join(revisits, "id", "left")
+    revisits = light.join(again, "digest").where("id <> refers_to").select("id", "digest", "refers_to").distinct()
+    return rows.join(revisits, ["id", "digest"], "left")
 
 
 BUNDLES = "first_id bigint, n_records bigint, content binary"

@@ -46,3 +46,16 @@ def test_small_bundles_and_empty(spark):
     df = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
     assert W.records(W.bundled(W.planned(df), 2000, 100)).count() == len(PAGES)
     assert W.records(W.archived(df.limit(0))).count() == 0
+
+
+def test_repeated_ids(spark):
+    other = "o" * 2000
+    rows = [(1, BIG), (1, BIG), (1, BIG), (2, BIG), (3, BIG), (3, other), (5, other), (5, other), (5, BIG + "y"), (6, "s"), (6, "s")]
+    df = spark.createDataFrame([(k, "u", h) for k, h in rows], "page_id bigint, url string, html string").repartition(3)
+    got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to, r.payload and bytes(r.payload)) for r in W.records(W.archived(df)).collect())
+    want = []
+    for page, html in rows:
+        payload, last = html.encode(), max(p for p, h in rows if h == html)
+        again = len(payload) >= 1000 and page != last
+        want.append((page, hashlib.sha1(payload).hexdigest(), "revisit" if again else "response", last if again else None, None if again else payload))
+    assert got == sorted(want)
