@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from tessella.llm.scratch import stored
 GAP = 64
 #: Bytes of benchmark text in a block: the bound of what a search sends to each task.
 BLOCK_BYTES = 4 << 20
-SEGMENT = "ids binary, id_nulls binary, first binary, terms binary, ptr binary, positions binary"
+SEGMENT = "segment bigint, ids binary, id_nulls binary, first binary, terms binary, ptr binary, positions binary"
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,11 +41,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def indexed(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", terms: np.ndarray | None = None) -> DataFrame:
     """Segments of the index over all rows of df; `terms` (sorted) keeps the postings of those terms only, all others being of no use to a search for them.
 
-    Ids must be integers or null; a null or empty text is a document without words.
+    Ids must be integers or null; a null or empty text is a document without words. `segment` and the place
+    in it are the key of a row once the segments are stored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.pieces(batches, "text"):
+        task = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(C.pieces(batches, "text")):
             hashes, first = words(*C.text_bytes(batch.column("text")))
             counts = np.diff(first)
             position = np.arange(len(hashes)) + GAP * np.repeat(np.arange(len(counts)), counts)
@@ -57,13 +60,14 @@ def indexed(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
             ids = batch.column("id")
             blobs = [np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()), first, hashes[starts], np.append(starts, len(hashes)), position.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in blobs], ["ids", "id_nulls", "first", "terms", "ptr", "positions"])
+            yield pa.RecordBatch.from_arrays([pa.array([task + k]), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in blobs)], ["segment", "ids", "id_nulls", "first", "terms", "ptr", "positions"])
 
     return df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, SEGMENT)
 
 
 class Segment:
-    def __init__(self, row: dict[str, bytes]):
+    def __init__(self, row: dict):
+        self.key = row["segment"]
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.nulls = np.frombuffer(row["id_nulls"], bool)
         self.first = np.frombuffer(row["first"], np.int64)
@@ -129,7 +133,7 @@ class Segment:
 
 
 def windows(items: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct windows of a block of items: (terms, size, first, items), items[first[w]:first[w+1]] holding window w."""
+    """Distinct windows of a block of items: (terms, size, first, items), items[first[w]:first[w+1]] holding window w. Items that aren't `named`, where there is such a column, are in no list."""
     data, offsets = C.text_bytes(pa.array(items["text"], pa.string()))
     hashes, first = words(data, offsets)
     counts = np.diff(first)
@@ -140,21 +144,23 @@ def windows(items: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, n
     if not len(rows):
         return np.zeros((0, length), np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
     both, inverse = np.unique(np.concatenate([rows, size[:, None].astype(np.uint64)], 1), axis=0, return_inverse=True)
-    pairs = np.unique(np.stack([inverse.ravel(), items["id"].to_numpy(np.int64)[own]], 1), axis=0)
+    named = items["named"].to_numpy(bool)[own] if "named" in items else np.ones(len(own), bool)
+    pairs = np.unique(np.stack([inverse.ravel()[named], items["id"].to_numpy(np.int64)[own][named]], 1), axis=0)
     return both[:, :-1], both[:, -1].astype(np.int64), np.searchsorted(pairs[:, 0], np.arange(len(both) + 1)), pairs[:, 1]
 
 
-def blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes: int) -> Iterator[pd.DataFrame]:
-    """The benchmark in blocks of about block_bytes of text, each item in one; items without an id or text can't be hit and named, and go."""
-    items = benchmark.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).na.drop()
+def blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes: int, unnamed: bool = False) -> Iterator[pd.DataFrame]:
+    """The benchmark in blocks of about block_bytes of text, each item in one: id, text, named. Items without a text have no windows and go; those without an id (0, not named) only stay if `unnamed`."""
+    id_ = F.col(id_column).cast("bigint")
+    items = benchmark.where(F.col(text_column).isNotNull() & (id_.isNotNull() | F.lit(unnamed))).select(F.coalesce(id_, F.lit(0).cast("bigint")).alias("id"), F.col(text_column).alias("text"), id_.isNotNull().alias("named"))
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):
-        yield items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).toPandas()
+        yield items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).toPandas()
 
 
 def searched(segments: DataFrame, items: pd.DataFrame, length: int = 10, slop: int | None = None) -> DataFrame:
-    """Documents of the index against one block of items: id, n_words, `starts` and `ends` (word ranges hit, disjoint and ascending) and `items` (ascending). Every document has a row.
+    """Documents of the index against one block of items: segment, place, id, n_words, `starts` and `ends` (word ranges hit, disjoint and ascending) and `items` (ascending). Every document has a row.
 
     With slop the matches are proximity matches: the ranges then hold the rarest term's word only.
     """
@@ -183,16 +189,18 @@ def searched(segments: DataFrame, items: pd.DataFrame, length: int = 10, slop: i
                 listed = pairs[:, 1].tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(np.full(n, s.key, np.int64)),
+                        pa.array(np.arange(n)),
                         pa.array(s.ids, mask=s.nulls),
                         pa.array(counts),
                         pa.array([a[x:y] for x, y in zip(runs[:-1], runs[1:], strict=True)], pa.list_(pa.int64())),
                         pa.array([b[x:y] for x, y in zip(runs[:-1], runs[1:], strict=True)], pa.list_(pa.int64())),
                         pa.array([listed[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int64())),
                     ],
-                    ["id", "n_words", "starts", "ends", "items"],
+                    ["segment", "place", "id", "n_words", "starts", "ends", "items"],
                 )
 
-    return segments.mapInArrow(run, "id bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<bigint>")
+    return segments.mapInArrow(run, "segment bigint, place bigint, id bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<bigint>")
 
 
 def total(starts: Column, ends: Column) -> Column:
@@ -205,17 +213,18 @@ def _union_size(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(zero.alias("n"), zero.alias("to")), lambda t, x: F.struct((t["n"] + F.greatest(zero, x["e"] - F.greatest(x["s"], t["to"]))).alias("n"), F.greatest(t["to"], x["e"]).alias("to")), lambda t: t["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, unnamed: bool = False) -> DataFrame:
     """id, n_words, n_hit (words in any occurrence of a window), items (array, ascending) for every row of docs.
 
     A window is `length` consecutive words of an item; an item of fewer, but not none, is one window.
-    Null and empty texts have no words. Ids of docs must be distinct where the benchmark needs more than
-    one block; with one block repeated rows each get a row. Extra columns are not read.
+    Null and empty texts have no words. Repeated rows and null ids each get a row, however many blocks the
+    benchmark needs. Items without an id are searched only if `unnamed`; they count in n_hit and are not in
+    items. Extra columns are not read.
     """
     if not 0 < length <= GAP:
         raise ValueError(f"length: from 1 to {GAP}")
-    parts = blocks(benchmark, item_id, item_text, block_bytes)
-    first = next(parts, pd.DataFrame({"id": np.zeros(0, np.int64), "text": np.zeros(0, object)}))
+    parts = blocks(benchmark, item_id, item_text, block_bytes, unnamed)
+    first = next(parts, pd.DataFrame({"id": np.zeros(0, np.int64), "text": np.zeros(0, object), "named": np.zeros(0, bool)}))
     second = next(parts, None)
     if second is None:
         wanted = np.unique(words(*C.text_bytes(pa.array(first["text"], pa.string())))[0])
@@ -226,7 +235,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_co
         segments = stored(indexed(docs, id_column, text_column), "postings", maxRecordsPerFile="16")
         every = searched(segments, first, length)
         for part in itertools.chain([second], parts):
-            every = every.unionByName(stored(searched(segments, part, length).where(F.size("items") > 0), "hits"))
+            every = every.unionByName(stored(searched(segments, part, length).where(F.size("starts") > 0), "hits"))
         spans = F.array_sort(F.flatten(F.collect_list(F.transform(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))))
-        out = every.groupBy("id").agg(F.max("n_words").alias("n_words"), _union_size(spans).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = every.groupBy("segment", "place").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), _union_size(spans).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("segment", "place")
     return out.withColumnRenamed("id", id_column)

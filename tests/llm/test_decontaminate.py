@@ -91,3 +91,17 @@ def test_query(spark, tmp_path):
     for k, r in rows.items():
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (want[k][1], want[k][2], len(want[k][3]), want[k][2] > 0)
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, want[k][3]))).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_rows_stay_apart_and_items_without_an_id_hit(spark, block):
+    rows = [*DOCS, (None, "clean text"), (None, None), (1, "another text of this id"), (9, "short item")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    items = spark.createDataFrame([*ITEMS, (None, "clean"), (2**60 + 1, "another text")], "item_id bigint, text string")
+    key = lambda r: repr(tuple(r))
+    named = [x for x in [*ITEMS, (2**60 + 1, "another text")] if x[0] is not None]
+    got = D.contamination(docs, items, block_bytes=block).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute(rows, named), key=key)
+    got = D.contamination(docs, items, block_bytes=block, unnamed=True).collect()
+    every = brute(rows, [*named, *((-1, t) for k, t in [*ITEMS, (None, "clean")] if k is None)])
+    assert sorted(map(tuple, got), key=key) == sorted([(d, n, h, [i for i in x if i >= 0]) for d, n, h, x in every], key=key)
