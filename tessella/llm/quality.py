@@ -35,7 +35,7 @@ _script[0xE3:0xEA] = 6
 _script[0xEA:0xEE] = 7
 _script[0xEE:0xF5] = 8
 
-#: Smallest text that the bands are made from or applied to, in tokens; documents that a language and length need for bands of their own.
+#: Smallest text that the bands are made from or applied to, in tokens; documents that a language and length need for bands without those of other lengths.
 LEAST_TOKENS = 60
 LEAST_DOCUMENTS = 30
 #: How many times the middle half's width a band reaches beyond it, and the least width taken, in thousandths.
@@ -129,20 +129,28 @@ def failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """grp, measure, low, high from all measured rows that pass the base rules. grp is language or script and power of two of the tokens; '*' in place of the first is for what has no bands of its own.
+    """grp, measure, low, high from all measured rows that pass the base rules. grp is kind (language or script) and length (power of two of the tokens).
 
-    Values are counted before they are shuffled: a window sorts the distinct values of a language only,
-    of which there are some thousands at most.
+    A length of fewer than LEAST_DOCUMENTS takes in the nearest lengths of its kind until they have as many,
+    all of them at the most; never another kind. Values are counted before they are shuffled: a window sorts
+    the distinct values of a kind only, of which there are some thousands at most.
     """
     names = list(WIDTHS)
     measure = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in names))).alias("m")
-    fit = rows.where((F.col("n_tokens") >= LEAST_TOKENS) & ~F.col("base_failed"))
-    counts = fit.groupBy("grp", *names).count().select("grp", measure, "count").groupBy("grp", "m.measure", "m.value").agg(F.sum("count").alias("c"))
-    counts = counts.unionByName(counts.groupBy(F.regexp_replace("grp", "^.* ", "* ").alias("grp"), "measure", "value").agg(F.sum("c").alias("c")))
+    asked = rows.where(F.col("n_tokens") >= LEAST_TOKENS)
+    fit = asked.where(~F.col("base_failed")).withColumnRenamed("length", "from")
+    sizes = fit.groupBy("kind", "from").agg(F.count("*").alias("n"))
+    pairs = asked.select("kind", "length", "grp").distinct().join(sizes, "kind").withColumn("far", F.abs(F.col("length") - F.col("from")))
+    w = Window.partitionBy("grp")
+    # The window's frame has all lengths of one distance, so what is left are those nearer.
+    nearer = F.sum("n").over(w.orderBy("far")) - F.sum("n").over(Window.partitionBy("grp", "far"))
+    used = pairs.withColumn("nearer", nearer).where(F.col("nearer") < LEAST_DOCUMENTS).select("kind", "from", "grp")
+    counts = fit.groupBy("kind", "from", *names).count().select("kind", "from", measure, "count").groupBy("kind", "from", "m.measure", "m.value").agg(F.sum("count").alias("c"))
+    counts = counts.join(used, ["kind", "from"]).groupBy("grp", "measure", "value").agg(F.sum("c").alias("c"))
     w = Window.partitionBy("grp", "measure")
     ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("all", F.sum("c").over(w))
     at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("value")))
-    quarters = ranked.groupBy("grp", "measure").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("all").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
+    quarters = ranked.groupBy("grp", "measure").agg(at(1).alias("q1"), at(3).alias("q3"))
     least = F.coalesce(*(F.when(F.col("measure") == m, F.lit(x)) for m, x in WIDTHS.items()))
     width = REACH * F.greatest(F.col("q3") - F.col("q1"), least)
     return quarters.select("grp", "measure", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
@@ -156,22 +164,25 @@ def judged(df: DataFrame, model_path: str, id_column: str = "doc_id", text_colum
     """measured(df) with base_failed, `reasons` (measures outside the bands, in order) and kept.
 
     A text of fewer than LEAST_TOKENS tokens is judged by the base rules only. A null language falls back on
-    the script. Equal rows each get a row; statistics are over all rows, bands apply alike at any size.
+    the script. Every other text is judged by bands of its language (else script), at any size of the
+    corpus: a rare length by those of the nearest lengths too, see `bands`. Equal rows each get a row;
+    statistics are over all rows.
     """
     rows = measured(df, model_path, id_column, text_column, lang_column)
-    rows = rows.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words"))).withColumn("grp", F.concat_ws(" ", F.coalesce("lang", F.concat(F.lit("script "), F.col("script"))), F.floor(F.log2(F.greatest("n_tokens", F.lit(1))))))
+    rows = rows.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words"))).withColumn("kind", F.coalesce("lang", F.concat(F.lit("script "), F.col("script")))).withColumn("length", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))))
+    rows = rows.withColumn("grp", F.concat_ws(" ", "kind", "length"))
     rows = stored(rows, "measured")
     limits = stored(bands(rows), "bands")
     wide = limits.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high")))).alias("b"))
     known = limits.select("grp").distinct().count() <= BROADCAST_GROUPS
     sent = F.broadcast(wide) if known else wide
-    out = rows.join(sent, "grp", "left").withColumn("any", F.regexp_replace("grp", "^.* ", "* ")).join(sent.select(F.col("grp").alias("any"), F.col("b").alias("b_any")), "any", "left")
+    out = rows.join(sent, "grp", "left")
 
     def outside(m: str) -> Column:
-        low, high = (F.coalesce(F.col("b")[m][side], F.col("b_any")[m][side]) for side in ("low", "high"))
+        low, high = (F.col("b")[m][side] for side in ("low", "high"))
         return F.when((F.col("n_tokens") >= LEAST_TOKENS) & ((F.col(m) < low) | (F.col(m) > high)), F.lit(m))
 
-    # Where a length has too few documents in all languages no band is known, and nothing is outside it.
+    # A kind without any band has no text that passes the base rules.
     reasons = F.filter(F.array(*map(outside, WIDTHS)), lambda x: x.isNotNull())
     out = out.withColumn("reasons", reasons).withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
-    return out.drop("b", "any", "b_any")
+    return out.drop("b", "kind", "length")

@@ -58,3 +58,15 @@ def test_bands(spark):
 
 def test_empty(spark):
     assert Q.judged(spark.createDataFrame([], "doc_id bigint, text string, lang string"), PATH).count() == 0
+
+
+def test_rare_lengths_and_languages(spark):
+    r = np.random.default_rng(2)
+    words = "the people of town went to market and bought bread with their money before rain came over hills".split()
+    greek = "οι άνθρωποι της πόλης πήγαν στην αγορά και αγόρασαν ψωμί με τα χρήματά τους πριν έρθει η βροχή".split()
+    docs = [(i, " ".join(r.choice(words, 160)), "en") for i in range(40)]
+    docs += [(100, " ".join(f"{w}{i}%%%" for i, w in enumerate(r.choice(words, 2000))), "en")]
+    docs += [(200 + i, " ".join(r.choice(greek, 120)), "el") for i in range(3)]
+    rows = {x.doc_id: x for x in Q.judged(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), PATH).collect()}
+    assert not any(x.base_failed for x in rows.values()) and rows[100].n_tokens >= 4096
+    assert not rows[100].kept and all(rows[i].kept for i in rows if i != 100)
