@@ -13,25 +13,39 @@ from tessella.llm.scratch import stored
 ORACLE_SQL = None
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among ids, in docs' columns. Rows that share an id, null being one, stay or go together."""
-    return docs.join(ids.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+#: Key of a row inside a stage; doc_id may be null or repeated.
+KEY = "row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key for each row, written once: made anew, keys could fall on other rows."""
+    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Exactly the rows of keyed docs whose key is among keys, in docs' columns."""
+    return docs.join(keys.select(KEY), KEY, "left_semi").drop(KEY)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the fertility bands reject."""
-    return _kept(docs, quality.judged(docs, PIECES).where("kept"))
+    docs = _keyed(docs)
+    return _kept(docs, quality.judged(docs, PIECES, id_column=KEY).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document of the smallest id. Classes without any id stay whole."""
-    return _kept(docs, shingle_join.classes(docs).where("doc_id <=> component_id"))
+    """One document of each class of near copies: that of the smallest id, null being the largest."""
+    docs = _keyed(docs)
+    classes = shingle_join.classes(docs, id_column=KEY).select(KEY, "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))[KEY]
+    return _kept(docs, classes.join(docs.select(KEY, "doc_id"), KEY).groupBy("component_id").agg(first.alias(KEY)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
+    """Documents without any passage of the benchmark, items without an id included."""
+    docs = _keyed(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _kept(docs, decontaminate.contamination(docs, benchmark).where("n_hit = 0"))
+    return _kept(docs, decontaminate.contamination(docs, benchmark, id_column=KEY, unnamed=True).where("n_hit = 0"))
 
 
 def personal_data_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,16 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, str(tmp_path)).dtypes == df.dtypes
         assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+def test_rows_are_judged_apart(spark, tmp_path):
+    docs, bench = corpus(60)
+    spark.createDataFrame([*bench, (None, "leaked passage")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [d[1] for d in docs[:6]]
+    run = lambda stage, rows: sorted(map(repr, ((r.doc_id, r.text) for r in stage(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3), str(tmp_path)).collect())))
+    want = lambda rows: sorted(map(repr, rows))
+    good = [(None, clean[0]), (None, clean[1]), (7, clean[2]), (7, clean[2])]
+    assert run(corpus_pipeline.quality_rules, [*good, (None, "short"), (7, "short")]) == want(good)
+    assert run(corpus_pipeline.decontamination, [*good, (None, bench[0][1]), (7, "a leaked passage")]) == want(good)
+    rows = [(7, clean[2]), (7, clean[2]), (5, clean[2]), (None, clean[2]), (None, clean[0]), (None, clean[0]), (None, clean[1]), (9, clean[3]), (9, clean[4])]
+    assert run(corpus_pipeline.near_duplicates, rows) == want([(5, clean[2]), (None, clean[0]), (None, clean[1]), (9, clean[3]), (9, clean[4])])
