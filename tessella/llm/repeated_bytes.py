@@ -210,8 +210,8 @@ def _shard(width: int):
         keep = np.ones(len(text), bool)
         keep[place + sizes] = False
         text[keep] = data
-        order = suffix_array(text, width)
-        shared = common_prefixes(text, order, width)
+        order = suffix_array(text)
+        shared = common_prefixes(text, order, width, full=True)
         twice = np.zeros(len(text), bool)
         near = shared >= width
         twice[order[near]] = True

@@ -57,11 +57,13 @@ def suffix_array(symbols: np.ndarray, depth: int | None = None) -> np.ndarray:
     return order
 
 
-def common_prefixes(symbols: np.ndarray, order: np.ndarray, cap: int, stripes: int = 4096) -> np.ndarray:
+def common_prefixes(symbols: np.ndarray, order: np.ndarray, cap: int, stripes: int = 4096, full: bool = False) -> np.ndarray:
     """lcp[i]: symbols that suffixes order[i - 1] and order[i] have in common, at most cap; lcp[0] is 0.
 
     Kasai's rule (a suffix shares at least one symbol less than the one before it in the text) runs down
-    many stripes of the text at once.
+    many stripes of the text at once. It carries on from a pair that differs within the depth of the sort.
+    Unless `full` says that the order is that of whole suffixes, the depth may end at cap: suffixes that
+    agree so far are then in any order, and nothing is known of those that follow them.
     """
     n = len(symbols)
     if not n:
@@ -95,5 +97,6 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, cap: int, stripes: i
             go = go[a[go] < cap]
         # What ends the text is equal to nothing.
         a = np.minimum(a, np.minimum(cap, n - np.maximum(i, j)))
-        shared[i], h[live] = a, a
+        shared[i] = a
+        h[live] = a if full else np.where(a < cap, a, 0)
     return shared[order]

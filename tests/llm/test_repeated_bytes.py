@@ -23,6 +23,19 @@ def test_suffix_array_and_prefixes():
                 assert got[i] == min(cap, diff[0] if len(diff) else m)
 
 
+def test_prefixes_of_an_order_by_depth():
+    r = np.random.default_rng(6)
+    for k in range(60):
+        x = r.integers(0, 26, 1500)
+        a, b, n = (int(v) for v in (r.integers(0, 500), r.integers(700, 1100), r.integers(30, 400)))
+        x[b : b + n] = x[a : a + n]
+        cap = int(r.integers(20, 220))
+        order = suffix_array(x, cap) if k % 2 else suffix_array(x)
+        got = common_prefixes(x, order, cap, 64, full=not k % 2)
+        same = lambda p, q: next((i for i in range(cap) if max(p, q) + i >= len(x) or x[p + i] != x[q + i]), cap)
+        assert got.tolist() == [0] + [same(p, q) for p, q in zip(order[:-1].tolist(), order[1:].tolist())]
+
+
 def brute(rows, width):
     seen = {}
     texts = [(t or "").encode() for _, t in rows]
