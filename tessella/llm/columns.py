@@ -11,12 +11,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 PIECE_BYTES = 2 << 20
-_B = 0x9E3779B97F4A7C15 | 1
-_BASE = np.uint64(_B)
-_INV = np.uint64(pow(_B, -1, 1 << 64))
-_powers: list[np.ndarray] = []
+#: Strings of at most so many bytes are hashed all at once.
+SHORT = 48
+_SEED, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: Byte classes. SPACE6 is x20 and x09-x0D. ALNUM8 is a-z, 0-9 and every byte from x80.
 SPACE6 = np.zeros(256, bool)
@@ -58,16 +59,6 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
             at = to
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least n of each."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, PIECE_BYTES + 1)
-        up, down = np.full(size, _BASE), np.full(size, _INV)
-        up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0], _powers[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit."""
     h = h ^ (h >> np.uint64(30))
@@ -78,17 +69,62 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Sums H with H[j] - H[i] times the i-th inverse power the hash of values[i:j]."""
-    up, _ = powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=out[1:])
+def chunks(data: np.ndarray) -> np.ndarray:
+    """At each byte, and at the end, the eight bytes from there on as a number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def range_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings data[starts[i]:ends[i]], chained by `mix` through eight bytes at a time, those of SHORT bytes or more by XXH3.
+
+    No sum or polynomial: texts built to cancel out (complementary doublings and the like) stay apart.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + _SEED)
+    view = chunks(data)
+    live = np.flatnonzero(size <= SHORT)
+    for k in range(0, SHORT, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        chunk = view[starts[live] + k] & _MASKS[np.minimum(size[live] - k, 8)]
+        out[live] = mix((out[live] ^ chunk) + _STEP)
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
+
+
+def window_hash(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the sequences values[starts[i]:starts[i] + sizes[i]] of 64-bit numbers, of a few each, chained alike."""
+    out = mix(sizes.astype(np.uint64) + _SEED)
+    live = np.arange(len(starts))
+    for k in range(int(sizes.max(initial=0))):
+        live = live if (sizes[live] > k).all() else live[sizes[live] > k]
+        out[live] = mix((out[live] ^ values[starts[live] + k]) + _STEP)
     return out
 
 
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether the strings data[starts[i]:ends[i]] and other[other_starts[i]:other_ends[i]] are equal, byte for byte."""
+    size = ends - starts
+    same = size == other_ends - other_starts
+    here, there = chunks(data), chunks(other)
+    live = np.flatnonzero(same)
+    for k in range(0, int(size.max(initial=0)), 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        if k >= SHORT:
+            for i in live.tolist():
+                same[i] = np.array_equal(data[starts[i] + k : ends[i]], other[other_starts[i] + k : other_ends[i]])
+            break
+        alike = ((here[starts[live] + k] ^ there[other_starts[live] + k]) & _MASKS[np.minimum(size[live] - k, 8)]) == 0
+        same[live[~alike]] = False
+        live = live[alike]
+    return same
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

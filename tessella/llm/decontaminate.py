@@ -35,7 +35,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(term of each word, first word of each document and the end)."""
     low = C.LOWER[data]
     starts, ends, first = C.tokens(low, offsets, C.ALNUM8)
-    return C.range_hash(C.prefix_hash(low), starts, ends), first
+    return C.range_hash(low, starts, ends), first
 
 
 def indexed(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", terms: np.ndarray | None = None) -> DataFrame:

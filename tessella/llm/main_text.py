@@ -65,17 +65,6 @@ def _unpacked(table: pa.Table) -> pa.Table:
     return pa.concat_tables(parts).combine_chunks() if parts else PAGE.empty_table()
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch: int = 1 << 20) -> np.ndarray:
-    """Hashes of words, a stretch of the text at a time: sums over a whole shard's bytes would be its largest arrays."""
-    out, i = np.empty(len(starts), np.uint64), 0
-    while i < len(starts):
-        base = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, base + stretch, "right")))
-        out[i:j] = C.range_hash(C.prefix_hash(data[base : ends[j - 1]]), starts[i:j] - base, ends[i:j] - base)
-        i = j
-    return out
-
-
 class Shard:
     """Words of a shard's pages and their windows of min_words words."""
 
@@ -89,7 +78,7 @@ class Shard:
         self.page_word = self.block_first[self.page_block]
         hosts = np.array([hash_text(x) for x in pages.column("host").to_pylist()], np.uint64)
         own = np.repeat(np.arange(len(counts)), np.diff(self.page_word))
-        self.words = C.mix(_hashes(self.data, self.starts, self.ends) ^ hosts[own])
+        self.words = C.mix(C.range_hash(self.data, self.starts, self.ends) ^ hosts[own])
         self.page, nth = C.expand(np.maximum(np.diff(self.page_word) - min_words + 1, 0))
         self.window = self.page_word[self.page] + nth
         self.shared = np.zeros(len(self.window), bool)
@@ -122,7 +111,7 @@ class Shard:
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """(places in window, hashes) of the windows of large hosts' pages."""
         at = np.flatnonzero(self.large[self.page]) if len(self.page) else np.zeros(0, np.int64)
-        return at, C.range_hash(C.prefix_hash(self.words), self.window[at], self.window[at] + self.width)
+        return at, C.window_hash(self.words, self.window[at], np.full(len(at), self.width))
 
     def extracted(self) -> pa.Table:
         cover = np.zeros(len(self.words) + 1, np.int64)
@@ -150,7 +139,7 @@ class Shard:
 
 def hash_text(text: str | None) -> int:
     data = np.frombuffer((text or "").encode() or b"\0", np.uint8)
-    return int(C.range_hash(C.prefix_hash(data), np.array([0]), np.array([len(data)]))[0])
+    return int(C.range_hash(data, np.array([0]), np.array([len(data)]))[0])
 
 
 def _dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

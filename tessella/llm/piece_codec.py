@@ -9,6 +9,7 @@ reaches over the cut, so that equal chunks are segmented once; this gives exactl
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from functools import lru_cache
 
@@ -23,6 +24,8 @@ MARK = "▁"
 MARK8 = MARK.encode()
 #: Distinct chunks kept by a worker; beyond it the table starts anew.
 TABLE_CHUNKS = 1_000_000
+#: Chunks of at most so many bytes are their own keys; longer ones have SHA-256 digests.
+KEY_BYTES = 64
 
 
 def _fields(data: bytes):
@@ -137,11 +140,11 @@ class PieceCodec:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.ids, self.n_ids = np.zeros(1 << 20, np.int32), 0
         self.start, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
+    def _learn(self, keys: list[bytes], texts: list[str]) -> None:
         found = self.raw.encode(texts, num_threads=1)
         flat = np.fromiter((i for x in found for i in x), np.int32)
         counts = np.fromiter(map(len, found), np.int64, len(found))
@@ -209,15 +212,20 @@ class PieceCodec:
         if len(edges) < 2:
             return np.zeros(0, np.int32), np.zeros(len(size) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         starts, ends = edges[:-1], edges[1:]
-        keys, where, inverse = np.unique(C.range_hash(C.prefix_hash(text), starts, ends), return_index=True, return_inverse=True)
-        if len(self.index) + len(keys) > TABLE_CHUNKS:
+        # Hashes sort the chunks; the table has them by their bytes, and what only shares a hash is a chunk of its own.
+        _, where, inverse = np.unique(C.range_hash(text, starts, ends), return_index=True, return_inverse=True)
+        odd = np.flatnonzero(~C.same_bytes(text, starts, ends, text, starts[where[inverse]], ends[where[inverse]]))
+        inverse[odd] = len(where) + np.arange(len(odd))
+        where = np.concatenate([where, odd])
+        if len(self.index) + len(where) > TABLE_CHUNKS:
             self._forget()
-        listed = keys.tolist()
-        missing = [k for k, key in enumerate(listed) if key not in self.index]
+        raw = text.tobytes()
+        listed = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        keys = [x if len(x) <= KEY_BYTES else hashlib.sha256(x).digest() + bytes(KEY_BYTES) for x in listed]
+        missing = {k: x for k, x in zip(keys, listed, strict=True) if k not in self.index}
         if missing:
-            raw = text.tobytes()
-            self._learn([listed[k] for k in missing], [raw[starts[i] : ends[i]].decode(errors="replace").replace(" ", MARK) for i in where[missing]])
-        row = np.fromiter(map(self.index.__getitem__, listed), np.int64, len(listed))[inverse]
+            self._learn(list(missing), [x.decode(errors="replace").replace(" ", MARK) for x in missing.values()])
+        row = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(listed))[inverse]
         counts = self.count[row]
         owner, rank = C.expand(counts)
         ids = self.ids[self.start[row][owner] + rank]

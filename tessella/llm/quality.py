@@ -65,18 +65,17 @@ def _measure(data: np.ndarray, offsets: np.ndarray, model_path: str) -> list[np.
         doc = np.repeat(ids, 1 + count(data == 10))
         words = np.searchsorted(starts, stops) - np.searchsorted(starts, begins)
         kept = words > 0
-        lines = C.range_hash(C.prefix_hash(data), begins[kept], stops[kept]) ^ salt[doc[kept]]
+        lines = C.range_hash(data, begins[kept], stops[kept]) ^ salt[doc[kept]]
         doc = doc[kept]
         distinct = np.unique(lines, return_index=True)[1]
         dup_lines = np.bincount(doc, minlength=n) - np.bincount(doc[distinct], minlength=n)
     else:
         dup_lines = np.zeros(n, np.int64)
 
-    words = C.range_hash(C.prefix_hash(data), starts, ends)
+    words = C.range_hash(data, starts, ends)
     own, nth = C.expand(np.maximum(n_words - 2, 0))
     at = first[own] + nth
-    sums = C.prefix_hash(words)
-    keys = C.range_hash(sums, at, at + 3) ^ salt[own]
+    keys = C.window_hash(words, at, np.full(len(at), 3)) ^ salt[own]
     _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
     again = at[counts[inverse] > 1]
     covered = np.zeros(len(words), bool)

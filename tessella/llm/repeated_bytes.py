@@ -43,15 +43,22 @@ _PLACE = np.uint64((1 << 23) - 1)
 UNIQUE, REPEATED, PARTIAL, MODEL = range(4)
 
 
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each byte on."""
+    part = C.mix(C.chunks(data)[: len(data) - 7] + np.uint64(0x2545F4914F6CDD1D))
+    n, out = len(data) - GRAM + 1, np.uint64(0)
+    for k in range(0, GRAM, 8):
+        out = C.mix(out ^ part[k : k + n])
+    return out
+
+
 def _stretch_runs(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     span = width - GRAM + 1
     n = len(data)
     sizes = np.diff(offsets)
     if n < width or not (sizes >= width).any():
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    sums = C.prefix_hash(data)
-    _, down = C.powers(n + 1)
-    gram = C.mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
+    gram = _grams(data)
     low = gram & ~_PLACE | np.arange(len(gram), dtype=np.uint64)
     reach = 1
     while 2 * reach <= span:
@@ -67,7 +74,7 @@ def _stretch_runs(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np
     head = np.flatnonzero(head)
     first, last = window[head], window[np.append(head[1:], len(window)) - 1]
     anchor = anchor[head]
-    context = C.mix(C.range_hash(sums, first, last + width) ^ C.mix((anchor - first).astype(np.uint64)))
+    context = C.mix(C.range_hash(data, first, last + width) ^ C.mix((anchor - first).astype(np.uint64)))
     return own[head], first - offsets[own[head]], last - offsets[own[head]], gram[anchor], context
 
 

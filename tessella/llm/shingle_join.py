@@ -42,13 +42,12 @@ def shingles(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = C.text_bytes(column)
     low = C.LOWER[data]
     starts, ends, first = C.tokens(low, offsets, C.NOT_SPACE6)
-    words = C.range_hash(C.prefix_hash(low), starts, ends)
+    words = C.range_hash(low, starts, ends)
     counts = np.diff(first)
-    sums = C.prefix_hash(words)
     n = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))
     own, nth = C.expand(n)
     at = first[own] + nth
-    hashes = C.range_hash(sums, at, at + np.minimum(counts[own], width))
+    hashes = C.window_hash(words, at, np.minimum(counts[own], width))
     order = np.argsort(hashes)
     own, hashes = own[order], hashes[order]
     order = np.argsort(own.astype(np.int32), kind="stable")

@@ -44,15 +44,3 @@ def test_host_boilerplate(spark, shard):
 
 def test_empty(spark):
     assert extracted(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
-
-
-def test_word_hashes_do_not_depend_on_stretches():
-    import numpy as np
-    from tessella.llm import columns as C
-    from tessella.llm.main_text import _hashes
-
-    data = np.frombuffer(b"alpha beta  gamma " * 40 + b"x" * 90, np.uint8)
-    starts, ends, _ = C.tokens(data, np.array([0, len(data)]), C.NOT_SPACE6)
-    whole = _hashes(data, starts, ends)
-    assert np.array_equal(whole, C.range_hash(C.prefix_hash(data), starts, ends))
-    assert np.array_equal(whole, _hashes(data, starts, ends, 7)) and len(set(whole.tolist())) == 4
