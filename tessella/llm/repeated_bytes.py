@@ -11,9 +11,9 @@ it are its context.
 2. What is left are contexts that agree in part. Each different one goes once, as bytes, to a shard by
    anchor. A shard builds a suffix array of its contexts by Larsson-Sadakane refinement, and Kasai's
    common prefixes of neighbours tell the repeated windows.
-3. An anchor with very many contexts is dealt to several shards. Shards then merge what they could not
-   settle by the windows' digests: sorted arrays, of which each range meets in one place and is looked up
-   by binary search.
+3. An anchor with very many contexts is dealt to several shards. These are merged by sorted arrays: each
+   sends one window of a kind, as a 128-bit digest, to as many buckets as the anchor has shards, packed
+   and in order, and a bucket looks every shard's array up by binary search among those of all.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ STRETCH = 1 << 22
 _PLACE = np.uint64((1 << 23) - 1)
 
 UNIQUE, REPEATED, PARTIAL, MODEL = range(4)
+#: Sixteen bytes that compare byte for byte.
+DIGEST = np.dtype("S16")
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -151,7 +154,7 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({"g": table.column("g"), "b": table.column("b"), "status": cut(out), "salts": cut(salts)})
 
 
-SETTLED = "kind string, g bigint, doc bigint, id bigint, text string, starts binary, ends binary, shard bigint, anchors binary, contexts binary, sizes binary, docs binary, at binary, salted binary"
+SETTLED = "kind string, g bigint, doc bigint, id bigint, text string, starts binary, ends binary, shard bigint, contexts binary, sizes binary, docs binary, at binary, anchors binary, salts binary"
 
 
 def _settle(width: int, n: int, n_shards: int):
@@ -190,24 +193,40 @@ def _settle(width: int, n: int, n_shards: int):
             texts_ = [data[offsets[own[i]] + first[i] : offsets[own[i]] + last[i] + width].tobytes() for i in x]
             # A model's own document is settled: its windows only answer for others.
             doc = np.where(status[o] == MODEL, -1, own[x])
-            add(kind="contexts", g=g, shard=int(k), contexts=b"".join(texts_), sizes=np.array([len(t) for t in texts_], np.int64).tobytes(), docs=doc.astype(np.int64).tobytes(), at=first[x].tobytes(), salted=(salts[o] > 1).tobytes())
+            add(kind="contexts", g=g, shard=int(k), contexts=b"".join(texts_), sizes=np.array([len(t) for t in texts_], np.int64).tobytes(), docs=doc.astype(np.int64).tobytes(), at=first[x].tobytes(), anchors=anchor[x].tobytes(), salts=salts[o].tobytes())
         types = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
         return pa.table({f.split()[0]: pa.array(rows[f.split()[0]], types[f.split()[1]]) for f in SETTLED.split(", ")})
 
     return run
 
 
-FOUND = "g bigint, doc bigint, start bigint, end bigint, digest binary"
+FOUND = "g bigint, spans binary, bucket bigint, digests binary, places binary"
+
+
+def _packed(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """(key, bytes of each column) for each distinct key; rows keep their order."""
+    order = np.argsort(key, kind="stable")
+    names, at = np.unique(key[order], return_index=True)
+    for name, a, b in zip(names.tolist(), at.tolist(), np.append(at[1:], len(key))[: len(at)].tolist(), strict=True):
+        yield name, [np.ascontiguousarray(c[order[a:b]]).tobytes() for c in columns]
+
+
+def _found(spans: np.ndarray, bucket: np.ndarray, digests: np.ndarray, places: np.ndarray) -> pa.Table:
+    """Rows of FOUND: spans (g, doc, start, end) by g, and sorted digests with the places (g, doc, start) of their windows by bucket."""
+    rows = [(g, x[0], None, None, None) for g, x in _packed(spans[:, 0], spans[:, 1:].astype(np.int32))]
+    rows += [(None, None, b, *x) for b, x in _packed(bucket, digests, places)]
+    types = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[f.split()[0] for f in FOUND.split(", ")])
 
 
 def _shard(width: int):
-    """Repeated windows of a shard's contexts, as spans of their documents. For anchors of several shards, windows that are new here and one of each that isn't go on with a digest."""
+    """Repeated windows of a shard's contexts, as spans of their documents. Of the contexts of an anchor that several shards have, one window of each kind goes on by a digest."""
 
     def run(table: pa.Table) -> pa.Table:
         # Which of several shards' anchors meet here doesn't matter: other anchors have other windows.
-        blobs = {k: table.column(k).to_pylist() for k in ("g", "contexts", "sizes", "docs", "at", "salted")}
+        blobs = {k: table.column(k).to_pylist() for k in ("g", "contexts", "sizes", "docs", "at", "anchors", "salts")}
         read = lambda k, kind: np.concatenate([np.frombuffer(x, kind) for x in blobs[k]])
-        sizes, doc, at, salted = read("sizes", np.int64), read("docs", np.int64), read("at", np.int64), read("salted", bool)
+        sizes, doc, at, anchor, salts = read("sizes", np.int64), read("docs", np.int64), read("at", np.int64), read("anchors", np.uint64), read("salts", np.int64)
         g = np.repeat(np.array(blobs["g"]), [len(x) // 8 for x in blobs["sizes"]])
         data = read("contexts", np.uint8)
         begin = np.cumsum(sizes) - sizes
@@ -234,20 +253,40 @@ def _shard(width: int):
         i, j = np.flatnonzero(head), np.flatnonzero(tail)
         real = doc[own[i]] >= 0
         i, j = i[real], j[real]
-        out = [g[own[i]], doc[own[i]], at[own[i]] + nth[i], at[own[i]] + nth[j] + width]
-        digest: list[bytes | None] = [None] * len(i)
-        if salted.any():
-            position = np.empty(len(text), np.int64)
-            position[order] = np.cumsum(~near)
-            go = np.flatnonzero(salted[own])
-            # Of windows that are equal here one is enough.
-            _, one = np.unique(position[window[go]], return_index=True)
-            go = go[one]
-            raw = text.astype(np.uint8).tobytes()
-            digest += [hashlib.blake2b(raw[w : w + width], digest_size=16).digest() for w in window[go].tolist()]
-            settled = hit[go] | (doc[own[go]] < 0)
-            out = [np.concatenate(x) for x in zip(out, [g[own[go]], np.where(settled, -1, doc[own[go]]), at[own[go]] + nth[go], at[own[go]] + nth[go] + width], strict=True)]
-        return pa.table({**{k: pa.array(v.astype(np.int64)) for k, v in zip(("g", "doc", "start", "end"), out, strict=True)}, "digest": pa.array(digest, pa.binary())})
+        spans = np.stack([g[own[i]], doc[own[i]], at[own[i]] + nth[i], at[own[i]] + nth[j] + width], 1)
+        # Of windows that are equal here one goes; if it is settled, it only answers for others.
+        position = np.empty(len(text), np.int64)
+        position[order] = np.cumsum(~near)
+        go = np.flatnonzero(salts[own] > 1)
+        go = go[np.unique(position[window[go]], return_index=True)[1]]
+        raw = memoryview(np.ascontiguousarray(text.astype(np.uint8)))
+        digest = np.array([xxhash.xxh3_128_digest(raw[w : w + width]) for w in window[go].tolist()], DIGEST)
+        by = np.argsort(digest)
+        digest, go = digest[by], go[by]
+        k = own[go]
+        places = np.stack([g[k], np.where(hit[go], -1, doc[k]), at[k] + nth[go]], 1).astype(np.int32)
+        # As many buckets as the anchor has shards: each gets about what one shard sends.
+        low = np.frombuffer(digest.tobytes(), "<u8")[::2] if len(digest) else np.zeros(0, np.uint64)
+        bucket = (C.mix(anchor[k] + C.mix(low % salts[k].astype(np.uint64))) >> np.uint64(1)).astype(np.int64)
+        return _found(spans, bucket, digest, places)
+
+    return run
+
+
+def _merge(width: int):
+    """Windows of several shards: each shard's digests, in order, are looked up by binary search among those of all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, DIGEST) for x in table.column("digests").to_pylist()]
+        places = [np.frombuffer(x, np.int32).reshape(-1, 3) for x in table.column("places").to_pylist()]
+        every = np.sort(np.concatenate(parts), kind="stable")
+        spans = []
+        for part, place in zip(parts, places, strict=True):
+            again = np.searchsorted(every, part, "right") - np.searchsorted(every, part, "left") > 1
+            spans.append(place[again & (place[:, 1] >= 0)].astype(np.int64))
+        spans = np.concatenate(spans)
+        none = np.zeros(0, np.int64)
+        return _found(np.concatenate([spans, spans[:, 2:] + width], 1), none, none, none).select(["g", "spans"])
 
     return run
 
@@ -255,26 +294,42 @@ def _shard(width: int):
 RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
 
+def _cut(text: np.ndarray, spans: np.ndarray) -> tuple[int, int, int, str, bytes]:
+    cover = np.zeros(len(text) + 1, np.int32)
+    np.add.at(cover, spans[:, 0], 1)
+    np.add.at(cover, spans[:, 1], -1)
+    gone = np.cumsum(cover)[:-1] > 0
+    kept = text[~gone].tobytes()
+    n_spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (gone[0] if len(gone) else 0))
+    return len(text), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept
+
+
+def _results(ids: pa.Array, out: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+    return pa.RecordBatch.from_arrays([ids, *columns], [f.split()[0] for f in RESULT.split(", ")])
+
+
+def _own_spans(batch: pa.RecordBatch | pa.Table, d: int) -> np.ndarray:
+    return np.stack([np.frombuffer(batch.column(k)[d].as_py(), np.int64) for k in ("starts", "ends")], 1)
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents whose spans are all known where their text was read."""
     for batch in C.pieces(batches, "text", 8 << 20):
-        out = []
         data, offsets = C.text_bytes(batch.column("text"))
-        spans = [batch.column(k).to_pylist() for k in ("starts", "ends", "more")]
-        for d in range(batch.num_rows):
-            text = data[offsets[d] : offsets[d + 1]]
-            starts, ends = np.frombuffer(spans[0][d], np.int64), np.frombuffer(spans[1][d], np.int64)
-            if spans[2][d]:
-                more = np.array([(x["start"], x["end"]) for x in spans[2][d]], np.int64)
-                starts, ends = np.concatenate([starts, more[:, 0]]), np.concatenate([ends, more[:, 1]])
-            cover = np.zeros(len(text) + 1, np.int32)
-            np.add.at(cover, starts, 1)
-            np.add.at(cover, ends, -1)
-            gone = np.cumsum(cover)[:-1] > 0
-            kept = text[~gone].tobytes()
-            n_spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (gone[0] if len(gone) else 0))
-            out.append((len(text), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept))
-        columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield _results(batch.column("id"), [_cut(data[offsets[d] : offsets[d + 1]], _own_spans(batch, d)) for d in range(batch.num_rows)])
+
+
+def _removed_later(docs: pa.Table, found: pa.Table) -> pa.Table:
+    """Documents of a group that waited for spans from shards."""
+    more = np.concatenate([np.zeros((0, 3), np.int32), *(np.frombuffer(x, np.int32).reshape(-1, 3) for x in found.column("spans").to_pylist())]).astype(np.int64)
+    more = more[np.argsort(more[:, 0], kind="stable")]
+    data, offsets = C.text_bytes(docs.column("text"))
+    out = []
+    for d, doc in enumerate(docs.column("doc").to_pylist()):
+        a, b = np.searchsorted(more[:, 0], [doc, doc + 1])
+        out.append(_cut(data[offsets[d] : offsets[d + 1]], np.concatenate([_own_spans(docs, d), more[a:b, 1:]])))
+    return pa.Table.from_batches([_results(docs.column("id").combine_chunks(), out)])
 
 
 def deduplicated(df: DataFrame, width: int = 200, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -298,13 +353,10 @@ def deduplicated(df: DataFrame, width: int = 200, id_column: str = "doc_id", tex
     answered = sent.groupBy("b").applyInArrow(_answer, "g bigint, b bigint, status binary, salts binary")
     settled = stored(docs.groupBy("g").cogroup(answered.groupBy("g")).applyInArrow(_settle(width, n_buckets, n_shards), SETTLED), "settled", compression="zstd")
 
-    contexts = settled.where("kind = 'contexts'").select("shard", "g", "contexts", "sizes", "docs", "at", "salted")
+    contexts = settled.where("kind = 'contexts'").select("shard", "g", "contexts", "sizes", "docs", "at", "anchors", "salts")
     found = stored(contexts.groupBy("shard").applyInArrow(_shard(width), FOUND), "found")
-    again = found.where("digest is not null").groupBy("digest").count().where("count > 1")
-    spans = found.where("digest is null").unionByName(found.where("digest is not null and doc >= 0").join(again.select("digest"), "digest", "left_semi"))
-    spans = spans.groupBy("g", "doc").agg(F.collect_list(F.struct("start", "end")).alias("more"))
-    none = F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
+    merged = found.where("bucket is not null").select("bucket", "digests", "places").groupBy("bucket").applyInArrow(_merge(width), "g bigint, spans binary")
+    spans = found.where("g is not null").select("g", "spans").unionByName(merged)
     rest = settled.select("kind", "g", "doc", "id", "text", "starts", "ends")
-    waiting = rest.where("kind = 'open'").join(spans, ["g", "doc"], "left")
-    every = rest.where("kind = 'done'").withColumn("more", none).unionByName(waiting)
-    return every.select("id", "text", "starts", "ends", "more").mapInArrow(_removed, RESULT).withColumnRenamed("id", id_column)
+    late = rest.where("kind = 'open'").groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(_removed_later, RESULT)
+    return rest.where("kind = 'done'").select("id", "text", "starts", "ends").mapInArrow(_removed, RESULT).unionByName(late).withColumnRenamed("id", id_column)
