@@ -132,8 +132,8 @@ class Segment:
         return window[own], at
 
 
-def windows(items: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct windows of a block of items: (terms, size, first, items), items[first[w]:first[w+1]] holding window w. Items that aren't `named`, where there is such a column, are in no list."""
+def windows(items: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows of a block of items: (terms, size, first, items, unnamed), items[first[w]:first[w+1]] naming those that hold window w, and unnamed[w] saying that one without an id does."""
     data, offsets = C.text_bytes(pa.array(items["text"], pa.string()))
     hashes, first = words(data, offsets)
     counts = np.diff(first)
@@ -142,17 +142,19 @@ def windows(items: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, n
     place = np.arange(length)
     rows = np.where(place < size[:, None], hashes[np.minimum(first[own][:, None] + nth[:, None] + place, max(len(hashes) - 1, 0))] if len(hashes) else np.uint64(0), np.uint64(0))
     if not len(rows):
-        return np.zeros((0, length), np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        return np.zeros((0, length), np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     both, inverse = np.unique(np.concatenate([rows, size[:, None].astype(np.uint64)], 1), axis=0, return_inverse=True)
     named = items["named"].to_numpy(bool)[own] if "named" in items else np.ones(len(own), bool)
     pairs = np.unique(np.stack([inverse.ravel()[named], items["id"].to_numpy(np.int64)[own][named]], 1), axis=0)
-    return both[:, :-1], both[:, -1].astype(np.int64), np.searchsorted(pairs[:, 0], np.arange(len(both) + 1)), pairs[:, 1]
+    unnamed = np.zeros(len(both), bool)
+    unnamed[inverse.ravel()[~named]] = True
+    return both[:, :-1], both[:, -1].astype(np.int64), np.searchsorted(pairs[:, 0], np.arange(len(both) + 1)), pairs[:, 1], unnamed
 
 
-def blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes: int, unnamed: bool = False) -> Iterator[pd.DataFrame]:
-    """The benchmark in blocks of about block_bytes of text, each item in one: id, text, named. Items without a text have no windows and go; those without an id (0, not named) only stay if `unnamed`."""
+def blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes: int) -> Iterator[pd.DataFrame]:
+    """The benchmark in blocks of about block_bytes of text, each item in one: id, text, named. Items without a text have no windows and go; those without an id have 0 and are not named."""
     id_ = F.col(id_column).cast("bigint")
-    items = benchmark.where(F.col(text_column).isNotNull() & (id_.isNotNull() | F.lit(unnamed))).select(F.coalesce(id_, F.lit(0).cast("bigint")).alias("id"), F.col(text_column).alias("text"), id_.isNotNull().alias("named"))
+    items = benchmark.where(F.col(text_column).isNotNull()).select(F.coalesce(id_, F.lit(0).cast("bigint")).alias("id"), F.col(text_column).alias("text"), id_.isNotNull().alias("named"))
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):
@@ -160,11 +162,11 @@ def blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes:
 
 
 def searched(segments: DataFrame, items: pd.DataFrame, length: int = 10, slop: int | None = None) -> DataFrame:
-    """Documents of the index against one block of items: segment, place, id, n_words, `starts` and `ends` (word ranges hit, disjoint and ascending) and `items` (ascending). Every document has a row.
+    """Documents of the index against one block of items: segment, place, id, n_words, `starts` and `ends` (word ranges hit, disjoint and ascending), `items` (ascending) and `unnamed` (whether an item without an id is there). Every document has a row.
 
     With slop the matches are proximity matches: the ranges then hold the rarest term's word only.
     """
-    terms, size, first, own_items = windows(items, length)
+    terms, size, first, own_items, unnamed = windows(items, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,6 +189,8 @@ def searched(segments: DataFrame, items: pd.DataFrame, length: int = 10, slop: i
                 pairs = np.unique(np.stack([doc[got], own_items[first[window][got] + nth]], 1), axis=0) if len(window) else np.zeros((0, 2), np.int64)
                 cut = np.searchsorted(pairs[:, 0], np.arange(n + 1))
                 listed = pairs[:, 1].tolist()
+                nameless = np.zeros(n, bool)
+                nameless[doc[unnamed[window]]] = True
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(n, s.key, np.int64)),
@@ -196,11 +200,12 @@ def searched(segments: DataFrame, items: pd.DataFrame, length: int = 10, slop: i
                         pa.array([a[x:y] for x, y in zip(runs[:-1], runs[1:], strict=True)], pa.list_(pa.int64())),
                         pa.array([b[x:y] for x, y in zip(runs[:-1], runs[1:], strict=True)], pa.list_(pa.int64())),
                         pa.array([listed[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int64())),
+                        pa.array(nameless),
                     ],
-                    ["segment", "place", "id", "n_words", "starts", "ends", "items"],
+                    ["segment", "place", "id", "n_words", "starts", "ends", "items", "unnamed"],
                 )
 
-    return segments.mapInArrow(run, "segment bigint, place bigint, id bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<bigint>")
+    return segments.mapInArrow(run, "segment bigint, place bigint, id bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<bigint>, unnamed boolean")
 
 
 def total(starts: Column, ends: Column) -> Column:
@@ -213,23 +218,23 @@ def _union_size(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(zero.alias("n"), zero.alias("to")), lambda t, x: F.struct((t["n"] + F.greatest(zero, x["e"] - F.greatest(x["s"], t["to"]))).alias("n"), F.greatest(t["to"], x["e"]).alias("to")), lambda t: t["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, unnamed: bool = False) -> DataFrame:
-    """id, n_words, n_hit (words in any occurrence of a window), items (array, ascending) for every row of docs.
+def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """id, n_words, n_hit (words in any occurrence of a window), items (array, ascending), unnamed (whether an item without an id occurs) for every row of docs.
 
     A window is `length` consecutive words of an item; an item of fewer, but not none, is one window.
     Null and empty texts have no words. Repeated rows and null ids each get a row, however many blocks the
-    benchmark needs. Items without an id are searched only if `unnamed`; they count in n_hit and are not in
-    items. Extra columns are not read.
+    benchmark needs. Items without an id count in n_hit as others do and only have no name in items; items
+    of one id are one. Extra columns are not read.
     """
     if not 0 < length <= GAP:
         raise ValueError(f"length: from 1 to {GAP}")
-    parts = blocks(benchmark, item_id, item_text, block_bytes, unnamed)
+    parts = blocks(benchmark, item_id, item_text, block_bytes)
     first = next(parts, pd.DataFrame({"id": np.zeros(0, np.int64), "text": np.zeros(0, object), "named": np.zeros(0, bool)}))
     second = next(parts, None)
     if second is None:
         wanted = np.unique(words(*C.text_bytes(pa.array(first["text"], pa.string())))[0])
         segments = stored(indexed(docs, id_column, text_column, wanted), "postings", maxRecordsPerFile="16")
-        out = searched(segments, first, length).select("id", "n_words", total(F.col("starts"), F.col("ends")).alias("n_hit"), "items")
+        out = searched(segments, first, length).select("id", "n_words", total(F.col("starts"), F.col("ends")).alias("n_hit"), "items", "unnamed")
     else:
         # One index for all blocks; each block's hits are written, and only one block is held at a time.
         segments = stored(indexed(docs, id_column, text_column), "postings", maxRecordsPerFile="16")
@@ -237,5 +242,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_co
         for part in itertools.chain([second], parts):
             every = every.unionByName(stored(searched(segments, part, length).where(F.size("starts") > 0), "hits"))
         spans = F.array_sort(F.flatten(F.collect_list(F.transform(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))))
-        out = every.groupBy("segment", "place").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), _union_size(spans).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("segment", "place")
+        out = every.groupBy("segment", "place").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), _union_size(spans).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("unnamed").alias("unnamed")).drop("segment", "place")
     return out.withColumnRenamed("id", id_column)

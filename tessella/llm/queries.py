@@ -37,7 +37,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string")))), 256)
-    return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    # Items without an id are one item without a name.
+    n_items = F.size("items").cast("bigint") + F.col("unnamed").cast("bigint")
+    return got.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 @query
