@@ -45,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents without any passage of the benchmark, items without an id included."""
     docs = _keyed(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _kept(docs, decontaminate.contamination(docs, benchmark, id_column=KEY, unnamed=True).where("n_hit = 0"))
+    return _kept(docs, decontaminate.contamination(docs, benchmark, id_column=KEY).where("n_hit = 0"))
 
 
 def personal_data_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,11 +26,11 @@ def rows(columns, data):
     return sorted(columns), sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
 
-def compare(spark, name, f, sql, sf_dir):
+def compare(spark, name, f, sql, sf_dir, files=""):
     con = duckdb.connect()
     for t in TABLES:
         if os.path.exists(f"{sf_dir}/{t}.parquet"):
-            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet{files}'")
     cursor = con.execute(sql)
     want = rows([d[0] for d in cursor.description], cursor.fetchall())
     df = f(spark, sf_dir)
