@@ -1,14 +1,22 @@
 """Main text of web pages: structure of the page, and a suffix array over the pages of a host.
 
-A page is cut into blocks, and where its markup names the article or its furniture, that decides. For
-all other blocks the host does: the word streams of its pages are put one after another, a suffix array
-finds the runs of MIN_WORDS words and more that distinct pages share, and a block that such runs mostly
-cover is boilerplate. What the article itself shares with other pages (quotations, copies) stays in its
-text and is reported beside it.
+A page is cut into blocks, and its markup says of each whether it stands in the article, in the page's
+furniture or in neither. The word streams of a host's pages are put one after another, and a suffix array
+finds the runs of MIN_WORDS words and more that distinct pages share. Both together decide:
+
+* On a page without a marked article, a block outside the furniture goes if COVERED percent of its words
+  lie in common runs: those that MIN_PAGES distinct pages of the host have (or both, where it has two).
+* Inside a marked article a block goes only if all its words lie in common runs that another page has in
+  its furniture. Any other block of the article stays, as quotations and copies do.
+* On a page with a marked article, what lies outside it goes.
+
+Pages whose longest block is the same are copies of one text and count as one page: neither equal nor
+nearly equal pages make each other's text common. Of a page's blocks those in its furniture don't count as
+the longest.
 
 Hosts meet in shards of bounded size. Pages of a large host are dealt to several shards by page; those
-shards then tell each other, through buckets, the hashes of their runs of MIN_WORDS words. Every page
-goes through one suffix array.
+shards then tell each other, through buckets, the hashes of their runs of MIN_WORDS words, whose pages they
+are and whether they stand in furniture. Every page goes through one suffix array.
 """
 
 from __future__ import annotations
@@ -26,14 +34,15 @@ from tessella.llm.html_blocks import CHROME, MAIN, OPEN, blocks
 from tessella.llm.suffix_array import common_prefixes, suffix_array
 
 MIN_WORDS = 6
-#: Part of an unmarked block's words, in percent, from which shared runs make it boilerplate.
+#: Distinct pages that make a run common, and the part of an unmarked block's words, in percent, from which common runs make it boilerplate.
+MIN_PAGES = 3
 COVERED = 50
 #: Page source of a shard, and run hashes of a bucket: what one task holds.
 SHARD_BYTES = 8 << 20
 BUCKET_RUNS = 2 << 20
 
 PACKED = "g bigint, pages binary"
-EXTRACTED = "id bigint, url string, text string, n_chars bigint, n_blocks bigint, n_shared_words bigint, unique_text string"
+EXTRACTED = "id bigint, url string, text string, n_chars bigint, n_blocks bigint, n_common_blocks bigint, n_shared_words bigint, unique_text string"
 PAGE = pa.schema([("id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("large", pa.bool_()), ("texts", pa.list_(pa.string())), ("places", pa.list_(pa.int8()))])
 PLACES = [CHROME, OPEN, MAIN]
 #: Page source whose parsed pages are compressed together, and bytes of a run's hash that buckets compare beside its bucket.
@@ -66,26 +75,49 @@ def _unpacked(table: pa.Table) -> pa.Table:
 
 
 class Shard:
-    """Words of a shard's pages and their windows of min_words words."""
+    """Words of a shard's pages and their windows of min_words words.
+
+    Of each window, over the pages that were compared: how many texts hold it (`texts`, at most MIN_PAGES), the
+    first two (`text` and `text2`, a byte of their hashes) and whether it stands in a page's furniture (`chrome`). `common`
+    and `outside` (common, and furniture somewhere) are what decides.
+    """
 
     def __init__(self, pages: pa.Table, min_words: int):
         self.pages, self.width = pages, min_words
         texts = pages.column("texts").combine_chunks() if pages.num_rows else pa.array([], pa.list_(pa.string()))
+        places = pages.column("places").combine_chunks() if pages.num_rows else pa.array([], pa.list_(pa.int8()))
         counts = np.asarray(pc.list_value_length(texts), np.int64)
         self.data, self.offsets = C.text_bytes(texts.flatten())
+        self.place = np.asarray(places.flatten(), np.int8)
         self.starts, self.ends, self.block_first = C.tokens(self.data, self.offsets, C.NOT_SPACE6)
         self.page_block = np.concatenate([[0], np.cumsum(counts)])
         self.page_word = self.block_first[self.page_block]
-        hosts = np.array([hash_text(x) for x in pages.column("host").to_pylist()], np.uint64)
+        self.host = np.array([hash_text(x) for x in pages.column("host").to_pylist()], np.uint64)
         own = np.repeat(np.arange(len(counts)), np.diff(self.page_word))
-        self.words = C.mix(C.range_hash(self.data, self.starts, self.ends) ^ hosts[own])
+        self.words = C.mix(C.range_hash(self.data, self.starts, self.ends) ^ self.host[own])
         self.page, nth = C.expand(np.maximum(np.diff(self.page_word) - min_words + 1, 0))
         self.window = self.page_word[self.page] + nth
-        self.shared = np.zeros(len(self.window), bool)
+        self.text_of = self._longest(counts)
+        in_chrome = np.repeat(self.place == 0, np.diff(self.block_first))
+        self.in_chrome = in_chrome[self.window] if len(self.window) else np.zeros(0, bool)
+        n = len(self.window)
+        self.texts, self.text, self.text2, self.chrome = np.ones(n, np.int8), np.zeros(n, np.uint8), np.zeros(n, np.uint8), np.zeros(n, bool)
+        self.common, self.outside = np.zeros(n, bool), np.zeros(n, bool)
         self.large = np.asarray(pages.column("large").to_pandas(), bool)
 
+    def _longest(self, counts: np.ndarray) -> np.ndarray:
+        """A hash of the longest block (the first of several) outside the furniture of each page; of all, where it has none."""
+        block = np.repeat(np.arange(len(counts)), counts)
+        size = np.diff(self.offsets) + (self.place != 0) * (1 << 40)
+        order = np.lexsort((-np.arange(len(size)), size, block))
+        last = np.cumsum(counts)[counts > 0] - 1
+        out = np.zeros(len(counts), np.uint64)
+        best = order[last]
+        out[counts > 0] = C.range_hash(self.data, self.offsets[best], self.offsets[best + 1])
+        return C.mix(out ^ self.host)
+
     def compare(self, pages: np.ndarray) -> None:
-        """Marks the windows that distinct ones of the given pages (a mask) share, by a suffix array over their words, page after page with a separator."""
+        """Counts the texts of each window among the given pages (a mask), by a suffix array over their words, page after page with a separator."""
         counts = np.diff(self.page_word)
         own = np.repeat(np.arange(len(counts)), counts)
         use = pages[own]
@@ -102,38 +134,67 @@ class Shard:
         group[order] = np.cumsum(common_prefixes(text, order, self.width) < self.width)
         mine = np.flatnonzero(pages[self.page])
         group = group[place[self.window[mine]]]
-        # Of each group the lowest and the highest page: they differ if two pages share it.
-        low, high = np.full(len(text) + 1, len(counts)), np.full(len(text) + 1, -1)
-        np.minimum.at(low, group, self.page[mine])
-        np.maximum.at(high, group, self.page[mine])
-        self.shared[mine] = (low != high)[group]
+        n = len(text) + 1
+        copy = self.text_of[self.page[mine]]
+        by = np.lexsort((copy, group))
+        fresh = np.ones(len(by), bool)
+        fresh[1:] = (group[by][1:] != group[by][:-1]) | (copy[by][1:] != copy[by][:-1])
+        first = by[fresh]
+        some = np.bincount(group[first], minlength=n)
+        one, two = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+        named, at = np.unique(group[first], return_index=True)
+        two_at = np.minimum(at + 1, max(len(first) - 1, 0))
+        byte = (copy[first] & np.uint64(255)).astype(np.uint8)
+        one[named], two[named] = byte[at], byte[two_at]
+        furniture = np.bincount(group, self.in_chrome[mine], n) > 0
+        self.texts[mine] = np.minimum(some, MIN_PAGES)[group]
+        self.text[mine], self.text2[mine], self.chrome[mine] = one[group], two[group], furniture[group]
+
+    def settle(self, least: np.ndarray) -> None:
+        """`least`: for each page the texts that make a run common."""
+        self.common = self.texts >= least[self.page]
+        self.outside = self.common & self.chrome
+
+    def host_texts(self) -> np.ndarray:
+        """For each page the distinct texts of its host here."""
+        pairs = np.unique(np.stack([self.host, self.text_of], 1), axis=0) if len(self.host) else np.zeros((0, 2), np.uint64)
+        names, counts = np.unique(pairs[:, 0], return_counts=True)
+        return counts[np.searchsorted(names, self.host)] if len(names) else np.zeros(0, np.int64)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """(places in window, hashes) of the windows of large hosts' pages."""
         at = np.flatnonzero(self.large[self.page]) if len(self.page) else np.zeros(0, np.int64)
         return at, C.window_hash(self.words, self.window[at], np.full(len(at), self.width))
 
-    def extracted(self) -> pa.Table:
+    def _covered(self, windows: np.ndarray) -> np.ndarray:
         cover = np.zeros(len(self.words) + 1, np.int64)
-        np.add.at(cover, self.window[self.shared], 1)
-        np.add.at(cover, self.window[self.shared] + self.width, -1)
-        covered = np.cumsum(cover)[:-1] > 0
+        np.add.at(cover, self.window[windows], 1)
+        np.add.at(cover, self.window[windows] + self.width, -1)
+        return np.cumsum(cover)[:-1] > 0
+
+    def extracted(self) -> pa.Table:
+        covered = self._covered(self.common)
         hits, sizes = C.per_owner(self.block_first, covered), np.diff(self.block_first)
+        outside = C.per_owner(self.block_first, self._covered(self.outside))
+        furniture, article = self.place == 0, self.place == 2
+        marked = np.repeat(np.add.reduceat(np.append(article, False).astype(np.int64), self.page_block[:-1]) * (np.diff(self.page_block) > 0) > 0, np.diff(self.page_block)) if len(self.page_block) > 1 else article
+        common = np.where(article, (outside == sizes) & (sizes > 0), 100 * hits >= COVERED * np.maximum(1, sizes))
+        keep = np.where(marked, article, ~furniture) & ~common
+        dropped = np.where(marked, article, ~furniture) & common
         raw, rows = self.data.tobytes(), []
-        for p, places in enumerate(self.pages.column("places").to_pylist()):
-            base = int(self.page_block[p])
-            marked = 2 in places
-            keep = [base + k for k, x in enumerate(places) if (x == 2 if marked else x == 1 and 100 * hits[base + k] < COVERED * max(1, sizes[base + k]))]
-            text = "\n".join(raw[self.offsets[b] : self.offsets[b + 1]].decode() for b in keep)
+        for p in range(self.pages.num_rows):
+            lo, hi = int(self.page_block[p]), int(self.page_block[p + 1])
+            kept = (lo + np.flatnonzero(keep[lo:hi])).tolist()
+            text = "\n".join(raw[self.offsets[b] : self.offsets[b + 1]].decode() for b in kept)
             alone = []
-            for b in keep:
+            for b in kept:
                 i, j = self.block_first[b], self.block_first[b + 1]
                 if not hits[b]:
                     alone.append(raw[self.offsets[b] : self.offsets[b + 1]].decode())
                 elif hits[b] < j - i:
                     alone.append(" ".join(raw[self.starts[w] : self.ends[w]].decode() for w in range(i, j) if not covered[w]))
-            rows.append((text, len(text), len(keep), int(hits[keep].sum()), "\n".join(alone)))
-        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            rows.append((text, len(text), len(kept), int(dropped[lo:hi].sum()), int(hits[kept].sum()), "\n".join(alone)))
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         return pa.table([self.pages.column("id"), self.pages.column("url"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=[x.split()[0] for x in EXTRACTED.split(", ")])
 
 
@@ -152,8 +213,15 @@ def _dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return distinct[order], np.searchsorted(bucket[order], np.arange(n + 1)), place[inverse]
 
 
+def _bits(flags: np.ndarray, edges: np.ndarray, rows: list[int]) -> pa.Array:
+    return pa.array([np.packbits(flags[edges[b] : edges[b + 1]]).tobytes() for b in rows], pa.binary())
+
+
+ASKED = "g bigint, b bigint, keys binary, texts binary, second binary, two binary, enough binary, chrome binary"
+
+
 def _ask(min_words: int, n: int):
-    """Of the pages of large hosts, which alone are looked at here: for each bucket the runs' hashes, and whether pages of this shard share them."""
+    """Of the pages of large hosts, which alone are looked at here: for each bucket the runs' hashes, a text that holds each, another one where two do here (`two`), whether MIN_PAGES do (`enough`), and whether it is furniture here."""
 
     def run(table: pa.Table) -> pa.Table:
         pages = _unpacked(table)
@@ -161,49 +229,55 @@ def _ask(min_words: int, n: int):
         s.compare(s.large)
         at, keys = s.keys()
         distinct, edges, place = _dealt(keys, n)
-        shared = np.zeros(len(distinct), bool)
-        shared[place[s.shared[at]]] = True
+        head = np.zeros(len(distinct), np.int64)
+        head[place] = at
+        texts, one, other, chrome = s.texts[head], s.text[head], s.text2[head], s.chrome[head]
+        two = (texts > 1) & (texts < MIN_PAGES)
         short = (distinct >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
         rows = [b for b in range(n) if edges[b] < edges[b + 1]]
+        cut = lambda x: pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in rows], pa.binary())
+        second = pa.array([other[edges[b] : edges[b + 1]][two[edges[b] : edges[b + 1]]].tobytes() for b in rows], pa.binary())
         g = table.column("g")[0].as_py()
-        return pa.table(
-            {
-                "g": pa.array([g] * len(rows), pa.int64()),
-                "b": pa.array(rows, pa.int64()),
-                "keys": pa.array([short[edges[b] : edges[b + 1]].tobytes() for b in rows], pa.binary()),
-                "shared": pa.array([np.packbits(shared[edges[b] : edges[b + 1]]).tobytes() for b in rows], pa.binary()),
-            }
-        )
+        columns = [pa.array([g] * len(rows), pa.int64()), pa.array(rows, pa.int64()), cut(short), cut(one), second, *(_bits(x, edges, rows) for x in (two, texts >= MIN_PAGES, chrome))]
+        return pa.table(columns, names=[x.split()[0] for x in ASKED.split(", ")])
 
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """For each shard a bit for each of its hashes: whether pages of two shards, or two pages of one, share it."""
+    """For each shard two bits for each of its hashes: whether MIN_PAGES texts of all shards hold it, and whether it is furniture in one of them."""
     parts = []
     for x in table.column("keys").to_pylist():
         wide = np.zeros((len(x) // KEY_BYTES, 8), np.uint8)
         wide[:, :KEY_BYTES] = np.frombuffer(x, np.uint8).reshape(-1, KEY_BYTES)
         parts.append(wide.view("<u8").ravel())
-    shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(table.column("shared").to_pylist(), parts, strict=True)]).astype(bool)
-    _, place, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    known = counts > 1
-    known[place[shared]] = True
-    hit = known[place]
+    unpacked = lambda k: np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(table.column(k).to_pylist(), parts, strict=True)]).astype(bool)
+    two, enough, chrome = (unpacked(k) for k in ("two", "enough", "chrome"))
+    text, second = (np.concatenate([np.frombuffer(x, np.uint8) for x in table.column(k).to_pylist()]) for k in ("texts", "second"))
+    names, place = np.unique(np.concatenate(parts), return_inverse=True)
+    # Distinct texts by a byte of their hashes.
+    pairs = np.unique(np.concatenate([place << 8 | text, place[two] << 8 | second])) >> 8
+    known = np.bincount(pairs, minlength=len(names)) >= MIN_PAGES
+    known[place[enough]] = True
+    outside = np.zeros(len(names), bool)
+    outside[place[chrome]] = True
     ends = np.cumsum([len(p) for p in parts])
-    return pa.table({"g": table.column("g"), "b": table.column("b"), "bits": pa.array([np.packbits(hit[e - len(p) : e]).tobytes() for p, e in zip(parts, ends, strict=True)], pa.binary())})
+    cut = lambda x: pa.array([np.packbits(x[place[e - len(p) : e]]).tobytes() for p, e in zip(parts, ends, strict=True)], pa.binary())
+    return pa.table({"g": table.column("g"), "b": table.column("b"), "common": cut(known), "chrome": cut(outside)})
 
 
 def _finish(min_words: int, n: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         s = Shard(_unpacked(table), min_words)
         s.compare(~s.large)
+        s.settle(np.clip(s.host_texts(), 2, MIN_PAGES))
         at, keys = s.keys()
         distinct, edges, place = _dealt(keys, n)
-        known = np.zeros(len(distinct), bool)
-        for b, bits in zip(answers.column("b").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-            known[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(edges[b + 1] - edges[b]))
-        s.shared[at] = known[place]
+        known = np.zeros((2, len(distinct)), bool)
+        for b, *bits in zip(*(answers.column(k).to_pylist() for k in ("b", "common", "chrome")), strict=True):
+            for k in range(2):
+                known[k, edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(bits[k], np.uint8), count=int(edges[b + 1] - edges[b]))
+        s.common[at], s.outside[at] = known[0][place], known[0][place] & known[1][place]
         return s.extracted()
 
     return run
@@ -213,6 +287,7 @@ def _alone(min_words: int):
     def run(table: pa.Table) -> pa.Table:
         s = Shard(_unpacked(table), min_words)
         s.compare(np.ones(s.pages.num_rows, bool))
+        s.settle(np.clip(s.host_texts(), 2, MIN_PAGES))
         return s.extracted()
 
     return run
@@ -223,12 +298,12 @@ BROADCAST_HOSTS = 100_000
 
 
 def extracted(df: DataFrame, min_words: int = MIN_WORDS, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """id, url, text, n_chars, n_blocks, n_shared_words (words of the text in runs that other pages of the host have too) and unique_text (the text without those runs) for every row of df.
+    """id, url, text, n_chars, n_blocks, n_common_blocks (left out for their common runs), n_shared_words (words of the text in common runs) and unique_text (the text without those runs) for every row of df.
 
-    text has the blocks of the article in page order, joined by line feeds; on a page without a marked
-    article, the blocks that neither markup nor the host's other pages show to be furniture. A null or
-    empty html has an empty text. Rows with one id are different pages. A null url is a host of its own
-    with all other null ones. Ids are integers or null; extra columns are not read.
+    text has the blocks in page order that the rules above leave, joined by line feeds. A null or empty html
+    has an empty text. Rows with one id are different pages, equal rows copies of one text. A null url is a
+    host of its own with all other null ones. A large host is one that needs two shards or more: it has as many
+    texts as MIN_PAGES for these rules. Ids are integers or null; extra columns are not read.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_column).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     pages = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"), host.alias("host"))
@@ -245,7 +320,7 @@ def extracted(df: DataFrame, min_words: int = MIN_WORDS, id_column: str = "page_
         out = packed.groupBy("g").applyInArrow(_alone(min_words), EXTRACTED)
     else:
         buckets = max(64, -(-total // 6 // BUCKET_RUNS))
-        asked = packed.groupBy("g").applyInArrow(_ask(min_words, buckets), "g bigint, b bigint, keys binary, shared binary")
-        answers = asked.groupBy("b").applyInArrow(_answer, "g bigint, b bigint, bits binary")
+        asked = packed.groupBy("g").applyInArrow(_ask(min_words, buckets), ASKED)
+        answers = asked.groupBy("b").applyInArrow(_answer, "g bigint, b bigint, common binary, chrome binary")
         out = packed.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_finish(min_words, buckets), EXTRACTED)
     return out.withColumnRenamed("id", id_column).withColumnRenamed("url", url_column)
