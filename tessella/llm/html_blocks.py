@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-MAIN, OPEN, CHROME = "main", "open", "chrome"
+MAIN, LIKELY, OPEN, CHROME = "main", "likely", "open", "chrome"
 
 #: Elements without content, without visible text, and those that stand in a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,7 +27,7 @@ def _words(value: str | None) -> set[str]:
 
 
 class Blocks(HTMLParser):
-    """blocks: (text, MAIN, OPEN or CHROME) in page order; hidden and empty ones are left out."""
+    """blocks: (text, place) in page order; hidden and empty ones are left out. MAIN is an article by its element or role, LIKELY one by names only."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -57,11 +57,13 @@ class Blocks(HTMLParser):
         given = dict(attrs)
         names = _words(given.get("class")) | _words(given.get("id"))
         role = ROLES.get((given.get("role") or "").lower())
-        inside = place == MAIN
+        inside = place in (MAIN, LIKELY)
         if tag in FURNITURE and not (tag == "header" and inside) or role == CHROME or names & CHROME_WORDS and tag not in ("html", "body") and tag not in ARTICLE:
             place = CHROME
-        elif place != CHROME and (tag in ARTICLE or role == MAIN or (tag in ("div", "section") and names & MAIN_WORDS)):
+        elif place != CHROME and (tag in ARTICLE or role == MAIN):
             place = MAIN
+        elif place == OPEN and tag in ("div", "section") and names & MAIN_WORDS:
+            place = LIKELY
         hidden = hidden or tag in HIDDEN or "hidden" in given or (given.get("aria-hidden") or "").lower() == "true" or "display:none" in (given.get("style") or "").replace(" ", "").lower()
         self.stack.append((tag, place, hidden))
 

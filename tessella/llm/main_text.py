@@ -6,17 +6,18 @@ finds the runs of MIN_WORDS words and more that distinct pages share. Both toget
 
 * On a page without a marked article, a block outside the furniture goes if COVERED percent of its words
   lie in common runs: those that MIN_PAGES distinct pages of the host have (or both, where it has two).
-* Inside a marked article a block goes only if all its words lie in common runs that another page has in
-  its furniture. Any other block of the article stays, as quotations and copies do.
-* On a page with a marked article, what lies outside it goes.
+* Where only names in the markup (classes, ids) hint at the article, a block in it goes if all its words lie
+  in common runs, and what lies outside it goes.
+* An article marked by an element or a role keeps all its blocks, quotations and copies too; what lies
+  outside it goes.
 
 Pages whose longest block is the same are copies of one text and count as one page: neither equal nor
 nearly equal pages make each other's text common. Of a page's blocks those in its furniture don't count as
 the longest.
 
 Hosts meet in shards of bounded size. Pages of a large host are dealt to several shards by page; those
-shards then tell each other, through buckets, the hashes of their runs of MIN_WORDS words, whose pages they
-are and whether they stand in furniture. Every page goes through one suffix array.
+shards then tell each other, through buckets, the hashes of their runs of MIN_WORDS words and which texts
+have them. Every page goes through one suffix array.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import columns as C
-from tessella.llm.html_blocks import CHROME, MAIN, OPEN, blocks
+from tessella.llm.html_blocks import CHROME, LIKELY, MAIN, OPEN, blocks
 from tessella.llm.suffix_array import common_prefixes, suffix_array
 
 MIN_WORDS = 6
@@ -44,7 +45,7 @@ BUCKET_RUNS = 2 << 20
 PACKED = "g bigint, pages binary"
 EXTRACTED = "id bigint, url string, text string, n_chars bigint, n_blocks bigint, n_common_blocks bigint, n_shared_words bigint, unique_text string"
 PAGE = pa.schema([("id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("large", pa.bool_()), ("texts", pa.list_(pa.string())), ("places", pa.list_(pa.int8()))])
-PLACES = [CHROME, OPEN, MAIN]
+PLACES = [CHROME, OPEN, LIKELY, MAIN]
 #: Page source whose parsed pages are compressed together, and bytes of a run's hash that buckets compare beside its bucket.
 PACK_BYTES = 6 << 20
 KEY_BYTES = 5
@@ -77,9 +78,8 @@ def _unpacked(table: pa.Table) -> pa.Table:
 class Shard:
     """Words of a shard's pages and their windows of min_words words.
 
-    Of each window, over the pages that were compared: how many texts hold it (`texts`, at most MIN_PAGES), the
-    first two (`text` and `text2`, a byte of their hashes) and whether it stands in a page's furniture (`chrome`). `common`
-    and `outside` (common, and furniture somewhere) are what decides.
+    Of each window, over the pages that were compared: how many texts hold it (`texts`, at most MIN_PAGES) and
+    the first two (`text` and `text2`, a byte of their hashes). `common` is what decides.
     """
 
     def __init__(self, pages: pa.Table, min_words: int):
@@ -98,11 +98,9 @@ class Shard:
         self.page, nth = C.expand(np.maximum(np.diff(self.page_word) - min_words + 1, 0))
         self.window = self.page_word[self.page] + nth
         self.text_of = self._longest(counts)
-        in_chrome = np.repeat(self.place == 0, np.diff(self.block_first))
-        self.in_chrome = in_chrome[self.window] if len(self.window) else np.zeros(0, bool)
         n = len(self.window)
-        self.texts, self.text, self.text2, self.chrome = np.ones(n, np.int8), np.zeros(n, np.uint8), np.zeros(n, np.uint8), np.zeros(n, bool)
-        self.common, self.outside = np.zeros(n, bool), np.zeros(n, bool)
+        self.texts, self.text, self.text2 = np.ones(n, np.int8), np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+        self.common = np.zeros(n, bool)
         self.large = np.asarray(pages.column("large").to_pandas(), bool)
 
     def _longest(self, counts: np.ndarray) -> np.ndarray:
@@ -146,14 +144,12 @@ class Shard:
         two_at = np.minimum(at + 1, max(len(first) - 1, 0))
         byte = (copy[first] & np.uint64(255)).astype(np.uint8)
         one[named], two[named] = byte[at], byte[two_at]
-        furniture = np.bincount(group, self.in_chrome[mine], n) > 0
         self.texts[mine] = np.minimum(some, MIN_PAGES)[group]
-        self.text[mine], self.text2[mine], self.chrome[mine] = one[group], two[group], furniture[group]
+        self.text[mine], self.text2[mine] = one[group], two[group]
 
     def settle(self, least: np.ndarray) -> None:
         """`least`: for each page the texts that make a run common."""
         self.common = self.texts >= least[self.page]
-        self.outside = self.common & self.chrome
 
     def host_texts(self) -> np.ndarray:
         """For each page the distinct texts of its host here."""
@@ -166,21 +162,20 @@ class Shard:
         at = np.flatnonzero(self.large[self.page]) if len(self.page) else np.zeros(0, np.int64)
         return at, C.window_hash(self.words, self.window[at], np.full(len(at), self.width))
 
-    def _covered(self, windows: np.ndarray) -> np.ndarray:
-        cover = np.zeros(len(self.words) + 1, np.int64)
-        np.add.at(cover, self.window[windows], 1)
-        np.add.at(cover, self.window[windows] + self.width, -1)
-        return np.cumsum(cover)[:-1] > 0
-
     def extracted(self) -> pa.Table:
-        covered = self._covered(self.common)
+        cover = np.zeros(len(self.words) + 1, np.int64)
+        np.add.at(cover, self.window[self.common], 1)
+        np.add.at(cover, self.window[self.common] + self.width, -1)
+        covered = np.cumsum(cover)[:-1] > 0
         hits, sizes = C.per_owner(self.block_first, covered), np.diff(self.block_first)
-        outside = C.per_owner(self.block_first, self._covered(self.outside))
-        furniture, article = self.place == 0, self.place == 2
-        marked = np.repeat(np.add.reduceat(np.append(article, False).astype(np.int64), self.page_block[:-1]) * (np.diff(self.page_block) > 0) > 0, np.diff(self.page_block)) if len(self.page_block) > 1 else article
-        common = np.where(article, (outside == sizes) & (sizes > 0), 100 * hits >= COVERED * np.maximum(1, sizes))
-        keep = np.where(marked, article, ~furniture) & ~common
-        dropped = np.where(marked, article, ~furniture) & common
+        # The best mark on a page says which of its blocks are asked: those with it.
+        counts = np.diff(self.page_block)
+        best = np.ones(len(counts), np.int8)
+        np.maximum.at(best, np.repeat(np.arange(len(counts)), counts), self.place)
+        asked = self.place == np.repeat(best, counts)
+        share = np.array([0, COVERED, 100, 101])[self.place]
+        common = 100 * hits >= share * np.maximum(1, sizes)
+        keep, dropped = asked & ~common, asked & common
         raw, rows = self.data.tobytes(), []
         for p in range(self.pages.num_rows):
             lo, hi = int(self.page_block[p]), int(self.page_block[p + 1])
@@ -217,11 +212,11 @@ def _bits(flags: np.ndarray, edges: np.ndarray, rows: list[int]) -> pa.Array:
     return pa.array([np.packbits(flags[edges[b] : edges[b + 1]]).tobytes() for b in rows], pa.binary())
 
 
-ASKED = "g bigint, b bigint, keys binary, texts binary, second binary, two binary, enough binary, chrome binary"
+ASKED = "g bigint, b bigint, keys binary, texts binary, second binary, two binary, enough binary"
 
 
 def _ask(min_words: int, n: int):
-    """Of the pages of large hosts, which alone are looked at here: for each bucket the runs' hashes, a text that holds each, another one where two do here (`two`), whether MIN_PAGES do (`enough`), and whether it is furniture here."""
+    """Of the pages of large hosts, which alone are looked at here: for each bucket the runs' hashes, a text that holds each, another one where two do here (`two`), and whether MIN_PAGES do (`enough`)."""
 
     def run(table: pa.Table) -> pa.Table:
         pages = _unpacked(table)
@@ -231,39 +226,37 @@ def _ask(min_words: int, n: int):
         distinct, edges, place = _dealt(keys, n)
         head = np.zeros(len(distinct), np.int64)
         head[place] = at
-        texts, one, other, chrome = s.texts[head], s.text[head], s.text2[head], s.chrome[head]
+        texts, one, other = s.texts[head], s.text[head], s.text2[head]
         two = (texts > 1) & (texts < MIN_PAGES)
         short = (distinct >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
         rows = [b for b in range(n) if edges[b] < edges[b + 1]]
         cut = lambda x: pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in rows], pa.binary())
         second = pa.array([other[edges[b] : edges[b + 1]][two[edges[b] : edges[b + 1]]].tobytes() for b in rows], pa.binary())
         g = table.column("g")[0].as_py()
-        columns = [pa.array([g] * len(rows), pa.int64()), pa.array(rows, pa.int64()), cut(short), cut(one), second, *(_bits(x, edges, rows) for x in (two, texts >= MIN_PAGES, chrome))]
+        columns = [pa.array([g] * len(rows), pa.int64()), pa.array(rows, pa.int64()), cut(short), cut(one), second, *(_bits(x, edges, rows) for x in (two, texts >= MIN_PAGES))]
         return pa.table(columns, names=[x.split()[0] for x in ASKED.split(", ")])
 
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """For each shard two bits for each of its hashes: whether MIN_PAGES texts of all shards hold it, and whether it is furniture in one of them."""
+    """For each shard a bit for each of its hashes: whether MIN_PAGES texts of all shards hold it."""
     parts = []
     for x in table.column("keys").to_pylist():
         wide = np.zeros((len(x) // KEY_BYTES, 8), np.uint8)
         wide[:, :KEY_BYTES] = np.frombuffer(x, np.uint8).reshape(-1, KEY_BYTES)
         parts.append(wide.view("<u8").ravel())
     unpacked = lambda k: np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(table.column(k).to_pylist(), parts, strict=True)]).astype(bool)
-    two, enough, chrome = (unpacked(k) for k in ("two", "enough", "chrome"))
+    two, enough = (unpacked(k) for k in ("two", "enough"))
     text, second = (np.concatenate([np.frombuffer(x, np.uint8) for x in table.column(k).to_pylist()]) for k in ("texts", "second"))
     names, place = np.unique(np.concatenate(parts), return_inverse=True)
     # Distinct texts by a byte of their hashes.
     pairs = np.unique(np.concatenate([place << 8 | text, place[two] << 8 | second])) >> 8
     known = np.bincount(pairs, minlength=len(names)) >= MIN_PAGES
     known[place[enough]] = True
-    outside = np.zeros(len(names), bool)
-    outside[place[chrome]] = True
     ends = np.cumsum([len(p) for p in parts])
     cut = lambda x: pa.array([np.packbits(x[place[e - len(p) : e]]).tobytes() for p, e in zip(parts, ends, strict=True)], pa.binary())
-    return pa.table({"g": table.column("g"), "b": table.column("b"), "common": cut(known), "chrome": cut(outside)})
+    return pa.table({"g": table.column("g"), "b": table.column("b"), "common": cut(known)})
 
 
 def _finish(min_words: int, n: int):
@@ -273,11 +266,10 @@ def _finish(min_words: int, n: int):
         s.settle(np.clip(s.host_texts(), 2, MIN_PAGES))
         at, keys = s.keys()
         distinct, edges, place = _dealt(keys, n)
-        known = np.zeros((2, len(distinct)), bool)
-        for b, *bits in zip(*(answers.column(k).to_pylist() for k in ("b", "common", "chrome")), strict=True):
-            for k in range(2):
-                known[k, edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(bits[k], np.uint8), count=int(edges[b + 1] - edges[b]))
-        s.common[at], s.outside[at] = known[0][place], known[0][place] & known[1][place]
+        known = np.zeros(len(distinct), bool)
+        for b, bits in zip(answers.column("b").to_pylist(), answers.column("common").to_pylist(), strict=True):
+            known[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(edges[b + 1] - edges[b]))
+        s.common[at] = known[place]
         return s.extracted()
 
     return run
@@ -321,6 +313,6 @@ def extracted(df: DataFrame, min_words: int = MIN_WORDS, id_column: str = "page_
     else:
         buckets = max(64, -(-total // 6 // BUCKET_RUNS))
         asked = packed.groupBy("g").applyInArrow(_ask(min_words, buckets), ASKED)
-        answers = asked.groupBy("b").applyInArrow(_answer, "g bigint, b bigint, common binary, chrome binary")
+        answers = asked.groupBy("b").applyInArrow(_answer, "g bigint, b bigint, common binary")
         out = packed.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_finish(min_words, buckets), EXTRACTED)
     return out.withColumnRenamed("id", id_column).withColumnRenamed("url", url_column)
