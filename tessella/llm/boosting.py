@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,14 +75,30 @@ class Boosted:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.raw(x) + self.offset)))
 
-    def column(self, feature: Callable[[int], Column]) -> Column:
-        """The calibrated probability over numeric columns."""
-
-        def of(tree: Tree) -> Column:
-            if not isinstance(tree, tuple):
-                return F.lit(tree)
-            f, t, low, high = tree
-            return F.when(feature(f) <= t, of(low)).otherwise(of(high))
-
-        score = sum((of(t) for t in self.trees[1:]), of(self.trees[0])) * self.rate
+    def _flat(self) -> tuple[list[int], list[float], list[float]]:
+        """(features, thresholds, leaves) of all trees filled up to full depth, nodes level by level."""
+        features, limits, leaves = [], [], []
+        for tree in self.trees:
+            level = [tree]
+            for _ in range(self.depth):
+                split = [x if isinstance(x, tuple) else (0, 1e300, x, x) for x in level]
+                features += [x[0] for x in split]
+                limits += [x[1] for x in split]
+                level = [y for x in split for y in x[2:]]
+            leaves += level
+        return features, limits, leaves
+
+    def column(self, x: Column) -> Column:
+        """The calibrated probability over an array of features. The trees are constant arrays, walked from level to level."""
+        features, limits, leaves = (F.split(F.lit(",".join(map(repr, a))), ",").cast(f"array<{t}>") for a, t in zip(self._flat(), ("int", "double", "double"), strict=True))
+        nodes = 2**self.depth - 1
+
+        def add(total: Column, k: Column) -> Column:
+            place = F.lit(0)
+            for level in range(self.depth):
+                at = k * nodes + place + 2**level
+                place = place * 2 + F.when(F.element_at(x, F.element_at(features, at) + 1) <= F.element_at(limits, at), 0).otherwise(1)
+            return total + F.element_at(leaves, k * (nodes + 1) + place + 1)
+
+        score = F.aggregate(F.sequence(F.lit(0), F.lit(len(self.trees) - 1)), F.lit(0.0), add) * self.rate
         return 1 / (1 + F.exp(-(self.slope * score + self.offset)))

@@ -99,7 +99,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = spans(table(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in BASE]
-    return got.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"))
+    return got.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"), "n_candidates")
 
 
 @query
