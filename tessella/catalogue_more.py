@@ -1,0 +1,222 @@
+"""Further queries over the given tables: proof of a store, egress, the evaluation harness. As in `catalogue`, mappings are SQL that both engines read."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessella.catalogue import CONV_DUCK, blocks, mapped, query, table
+from tessella.functions import egress
+from tessella.operators import harness as H
+from tessella.operators import proof as P
+
+# Proof
+
+_BODY = """CASE WHEN o_orderkey % 11 = 0 THEN '[1]' WHEN o_orderkey % 13 = 0 THEN '{"size": ' ELSE '{"size": ' || CASE o_orderkey % 5 WHEN 0 THEN '12' WHEN 1 THEN 'true' WHEN 2 THEN '"12"' WHEN 3 THEN 'null' ELSE '1.5' END
+ || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE ', "file_sha256": "x"' END || ', "segments": ' || CASE o_orderkey % 3 WHEN 0 THEN '[]' WHEN 1 THEN '{}' ELSE '[{"a": 1}]' END || ', "compact_boundaries": [1, 2]'
+ || CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN ', "diverged_from": null' WHEN 2 THEN ', "diverged_from": {"a": 1}' ELSE ', "diverged_from": "x", "adopted": [], "source_path": 3' END || '}' END"""
+_MANIFESTS = f"SELECT 'k' || o_orderkey AS key, {_BODY} AS body FROM {{t}}"
+_FIELDS = ", ".join(f"('{n}', '{k}', {free})" for n, (k, free) in P.FIELDS.items())
+
+
+@query(f"""WITH m AS ({_MANIFESTS.replace('{t}', 'orders')}), j AS (SELECT key, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS body FROM m),
+g AS (SELECT key, name, want, free, CASE json_type(body, '$.' || name) WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' ELSE lower(json_type(body, '$.' || name)) END AS got FROM j, (VALUES {_FIELDS}) f(name, want, free) WHERE json_type(body) = 'OBJECT')
+SELECT key, 'manifest type' AS "check", name || ' ' || COALESCE(got, 'missing') AS detail FROM g WHERE NOT COALESCE(got = want, false) AND NOT (free AND COALESCE(got = 'null', true))
+UNION ALL SELECT key, 'manifest type', 'not an object' FROM j WHERE COALESCE(json_type(body), '') <> 'OBJECT'""")
+def manifest_types(spark, sf_dir):
+    braces = _MANIFESTS.replace("{", "{{").replace("}", "}}").replace("{{t}}", "{t}")
+    return P.manifest_types(mapped(spark, sf_dir, "orders", braces))
+
+
+_PATHS = """SELECT 'k' || o_orderkey AS key, 'a' AS agent, 's' || (o_custkey % 9) AS session_id, CASE o_orderkey % 8 WHEN 0 THEN 'raw/a/s' || (o_custkey % 9) || '/g00/x' WHEN 1 THEN '../x' WHEN 2 THEN '/raw/a/s1/x' WHEN 3 THEN 'raw/a/s2/x'
+ WHEN 4 THEN 'raw/./a//s' || (o_custkey % 9) || '/g00/../y' WHEN 5 THEN 'raw/a/s1/../../../../z' WHEN 6 THEN 'raw/a/s' || (o_custkey % 9) || 'x/y' ELSE 'raw/b/../a/s' || (o_custkey % 9) END AS path FROM {t}"""
+
+
+@query(f"""WITH p AS ({_PATHS.replace('{t}', 'orders')}), n AS (SELECT *, CASE WHEN path[1] = '/' THEN '!' ELSE list_reduce(list_prepend('', string_split(path, '/')), lambda t, x: CASE WHEN t = '!' OR x IN ('', '.') THEN t WHEN x = '..' THEN CASE WHEN t = '' THEN '!' ELSE regexp_replace(t, '(^|/)[^/]*$', '') END WHEN t = '' THEN x ELSE t || '/' || x END) END AS loc FROM p)
+SELECT key, CASE WHEN loc = '!' THEN 'escapes the store' ELSE 'outside the session''s folder' END AS "check", path AS detail FROM n WHERE loc = '!' OR NOT (loc || '/') LIKE ('raw/' || agent || '/' || session_id || '/%')""")
+def path_containment(spark, sf_dir):
+    return P.path_containment(mapped(spark, sf_dir, "orders", _PATHS))
+
+
+_LISTING = """SELECT CASE o_orderkey % 6 WHEN 0 THEN 'raw/a/s' || (o_custkey % 50) || '/g00/' || o_orderkey || '.jsonl' WHEN 1 THEN 'raw/a/s' || (o_custkey % 50) || '/' || o_orderkey WHEN 2 THEN 'raw/' || o_orderkey WHEN 3 THEN 'sessions/a/s' || (o_custkey % 50) || '/g0' || (o_orderkey % 10) || '.json'
+ WHEN 4 THEN 'sessions/a/s1/g00.json.tmp.' || o_orderkey ELSE 'other/' || o_orderkey END AS path, o_orderkey % 29 = 0 AS link FROM {t}"""
+_SAID = "SELECT DISTINCT 'a' AS agent, 's' || (c_custkey % 40) AS session_id, 0 AS generation FROM {t}"
+
+
+@query(f"""WITH l AS ({_LISTING.replace('{t}', 'orders')}), s AS ({_SAID.replace('{t}', 'customer')})
+SELECT COALESCE(regexp_extract(path, '^(?:raw|sessions)/([^/]+/[^/]+)', 1), '') AS key, CASE WHEN link THEN 'symlink' WHEN path LIKE 'raw/%' THEN 'no manifest' ELSE 'not a manifest' END AS "check", path AS detail FROM l
+WHERE path NOT LIKE 'other/%' AND (link OR (path LIKE 'raw/%' AND NOT EXISTS (SELECT 1 FROM s WHERE path LIKE 'raw/a/' || session_id || '/g00/%')) OR (path LIKE 'sessions/%' AND NOT regexp_full_match(path, 'sessions/[^/]+/[^/]+/g[0-9]+\\.json')))""")
+def unattested_files(spark, sf_dir):
+    return P.unattested(mapped(spark, sf_dir, "orders", _LISTING), mapped(spark, sf_dir, "customer", _SAID))
+
+
+_ORPHANS = """SELECT 'k' || o_custkey AS key, 'p' || o_orderkey AS path, CAST(SUM(1 + o_orderkey % 9) OVER w - (1 + o_orderkey % 9) AS BIGINT) AS "start", CAST(SUM(1 + o_orderkey % 9) OVER w + CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 0 END AS BIGINT) AS "end" FROM {t} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)"""
+_HEADS = "SELECT 'k' || c_custkey AS key, CAST(CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey % 8 END AS BIGINT) AS size FROM {t}"
+
+
+@query(f"""WITH RECURSIVE o AS ({_ORPHANS.replace('{t}', 'orders')}), h AS ({_HEADS.replace('{t}', 'customer')}), d AS (SELECT *, row_number() OVER (PARTITION BY key, "start" ORDER BY "end" DESC, path) AS rn FROM o),
+c AS (SELECT h.key, d.path, d."start", d."end", CAST(1 AS BIGINT) AS place FROM h JOIN d ON h.key = d.key AND d."start" = h.size AND rn = 1 UNION ALL SELECT c.key, d.path, d."start", d."end", c.place + 1 FROM c JOIN d ON c.key = d.key AND d."start" = c."end" AND rn = 1)
+SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM d JOIN h ON h.key = d.key WHERE d.key = c.key AND d.rn = 1 AND d."start" >= h.size AND d."start" < c."start" AND d."start" NOT IN (SELECT x."start" FROM c x WHERE x.key = c.key))""")
+def adopt_orphans(spark, sf_dir):
+    return P.adopted(mapped(spark, sf_dir, "customer", _HEADS), mapped(spark, sf_dir, "orders", _ORPHANS.replace('"', "`")))
+
+
+_SEALED = """SELECT 'a' AS agent, 's' || o_custkey AS session_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS generation, CAST(o_orderkey AS BIGINT) AS size, 'f' || o_orderkey AS file_sha256, {array}('raw/' || o_orderkey) AS segments, {array}(CAST(o_orderkey % 7 AS BIGINT)) AS compact_boundaries,
+ CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE '/t/' || o_custkey END AS source_path FROM {t}"""
+_QUOTED = """COALESCE('"' || {x} || '"', 'null')"""
+_BODIED = (
+    """'{"adopted":[],"agent":"' || o.agent || '","compact_boundaries":[' || compact_boundaries[1] || '],"diverged_from":' || CASE WHEN o.generation = 0 THEN 'null' ELSE '{"file_sha256":"' || {f} || '","generation":' || (o.generation - 1) || '}' END || ',"file_sha256":"' || o.file_sha256 || '","generation":' || o.generation || ',"prev_file_sha256":' || """
+    + _QUOTED.replace("{x}", "{f}") + """ || ',"prev_manifest_sha256":' || """ + _QUOTED.replace("{x}", "{m}") + """ || ',"segments":["' || segments[1] || '"],"session_id":"' || o.session_id || '","size":' || size || ',"source_path":' || """ + _QUOTED.replace("{x}", "source_path") + " || '}'"
+)
+
+
+@query(f"""WITH RECURSIVE o AS ({_SEALED.replace('{t}', 'orders').replace('{array}', 'list_value')}), c AS (SELECT o.session_id, o.generation, o.file_sha256, CAST(NULL AS VARCHAR) AS prev, {_BODIED.replace('{f}', 'CAST(NULL AS VARCHAR)').replace('{m}', 'CAST(NULL AS VARCHAR)')} AS body FROM o WHERE generation = 0
+UNION ALL SELECT o.session_id, o.generation, o.file_sha256, sha256(c.body), {_BODIED.replace('{f}', 'c.file_sha256').replace('{m}', 'sha256(c.body)')} FROM c JOIN o ON o.session_id = c.session_id AND o.generation = c.generation + 1)
+SELECT session_id, generation, body, sha256(body) AS manifest_sha256, prev AS prev_manifest_sha256 FROM c""")
+def manifest_sink(spark, sf_dir):
+    return P.sealed(mapped(spark, sf_dir, "orders", _SEALED.replace("{array}", "array"))).select("session_id", "generation", "body", "manifest_sha256", "prev_manifest_sha256")
+
+
+_ROWS = """'{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}'"""
+
+
+@query(f"WITH h AS (SELECT sha256({_ROWS}) AS h FROM nation), b AS (SELECT left(h, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, '' ORDER BY b)) AS sha256 FROM b")
+def content_digest(spark, sf_dir):
+    return P.content_digest(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@query("SELECT page_id, name, regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9._-]{0,127}') AS safe FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '//([^/]+)', 1) WHEN 1 THEN url WHEN 2 THEN '.' || page_id ELSE repeat('a', CAST(page_id % 160 AS INT)) END AS name FROM pages)")
+def safe_name(spark, sf_dir):
+    name = "CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '//([^/]+)', 1) WHEN 1 THEN url WHEN 2 THEN '.' || page_id ELSE repeat('a', CAST(page_id % 160 AS INT)) END"
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(name).alias("name")).withColumn("safe", P.safe_name(F.col("name")))
+
+
+_URL = "CASE page_id % 4 WHEN 0 THEN replace(url, '://', '://me:pw@') WHEN 1 THEN replace(url, '://', '://tok@en@') WHEN 2 THEN 'git@host:' || page_id ELSE url || '?a@b' END"
+
+
+@query(f"SELECT page_id, CASE WHEN strpos(u, '://') > 0 THEN split_part(u, '://', 1) || '://' || regexp_replace(substr(u, strpos(u, '://') + 3), '^[^/?#]*@', '') ELSE u END AS url FROM (SELECT page_id, {_URL} AS u FROM pages)")
+def safe_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", egress.safe_url(F.expr(_URL)).alias("url"))
+
+
+_TOKEN = "'ghp_' || substr({sha}, 1, 36 + CAST(page_id % 4 AS INT))"
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'home/' || left(t, 4) || '…[' || strlen(t) || ' bytes]' || '/x' ELSE 'home/' || page_id END AS path FROM (SELECT page_id, {_TOKEN.replace('{sha}', 'sha256(CAST(page_id AS VARCHAR))')} AS t FROM pages)")
+def safe_path(spark, sf_dir):
+    token = _TOKEN.replace("{sha}", "sha2(CAST(page_id AS STRING), 256)")
+    path = F.expr(f"CASE WHEN page_id % 2 = 0 THEN 'home/' || {token} || '/x' ELSE 'home/' || page_id END")
+    return table(spark, sf_dir, "pages").select("page_id", egress.safe_path(path).alias("path"))
+
+
+# The harness
+
+_RANKED = "SELECT conv_id AS query, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY (turn * 7) % 11, turn) AS BIGINT) AS rank, CASE WHEN turn % 4 = 0 THEN NULL ELSE 't' || turn END AS turn, CASE WHEN turn % 4 = 0 THEN NULL ELSE 's' || (turn % 3) END AS session FROM {t}"
+_WANTED = "SELECT conv_id AS query, 'turn' AS level, 't' || turn AS item FROM {t} WHERE turn % 5 = 1 UNION ALL SELECT conv_id, 'session', 's' || (turn % 4) FROM {t} WHERE turn % 6 = 1 UNION ALL SELECT conv_id, 'none', NULL FROM {t}"
+
+
+def _measures(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    return H.measured(spark.sql(_RANKED, t=t), spark.sql(_WANTED, t=t), "query")
+
+
+def _level(level: str) -> str:
+    return f"""(SELECT count(DISTINCT {level}) FROM r WHERE r.query = q.query AND {level} IN (SELECT item FROM w WHERE w.query = q.query AND level = '{level}')) AS {level}_found, (SELECT min(rank) FROM r WHERE r.query = q.query AND {level} IN (SELECT item FROM w WHERE w.query = q.query AND level = '{level}')) AS {level}_first, (SELECT count(DISTINCT item) FROM w WHERE w.query = q.query AND level = '{level}') AS {level}_all"""
+
+
+_SHARES = ", ".join(
+    f"COALESCE({x}_found / NULLIF({x}_all, 0)::DOUBLE, 0) AS {x}_recall, COALESCE(1.0::DOUBLE / {x}_first, 0) AS {x}_mrr, CASE WHEN {x}_found > 0 THEN 1.0::DOUBLE ELSE 0 END AS {x}_hit, CASE WHEN {x}_all > 0 AND {x}_found = {x}_all THEN 1.0::DOUBLE ELSE 0 END AS {x}_recall_all" for x in ("turn", "session")
+)
+_MEASURED = f"""r AS ({_RANKED.replace('{t}', 'conversations')}), w AS ({_WANTED.replace('{t}', 'conversations')}), q AS (SELECT DISTINCT query FROM w),
+c AS (SELECT query, {_level('turn')}, {_level('session')}, (SELECT count(*)::DOUBLE FROM r WHERE r.query = q.query AND turn IS NULL) AS unmatched FROM q), m AS (SELECT query, {_SHARES}, unmatched FROM c)"""
+
+
+def _six(names, skip=()):
+    return [F.round(n, 6).alias(n) if n not in skip else F.col(n) for n in names]
+
+
+@query(f"WITH {_MEASURED} SELECT query, {', '.join(f'round({x}, 6) AS {x}' for x in H.METRICS)} FROM m")
+def turn_metrics(spark, sf_dir):
+    return _measures(spark, sf_dir).select("query", *_six(H.METRICS))
+
+
+_MEANS = ", ".join(f"round(avg({x}), 6) AS {x}" for x in H.METRICS)
+_LABELS = "'m' || (query % 2) AS mode, 'k' || (query % 4) AS kind, 'a' || (query % 3) AS arm"
+
+
+@query(f"WITH {_MEASURED}, l AS (SELECT *, {_LABELS} FROM m) SELECT mode, 'all' AS kind, arm, count(*) AS n, {_MEANS} FROM l GROUP BY mode, arm UNION ALL SELECT mode, kind, arm, count(*), {_MEANS} FROM l GROUP BY mode, kind, arm")
+def metric_summary(spark, sf_dir):
+    rows = _measures(spark, sf_dir).selectExpr("*", *_LABELS.split(", "))
+    return H.metric_summary(rows, "mode", "kind", "arm").select("mode", "kind", "arm", "n", *_six(H.METRICS))
+
+
+@query(f"WITH {_MEASURED}, l AS (SELECT *, 'a' || (query % 3) AS arm, query % 2 AS k, 1 + query % 4 AS category FROM m) SELECT arm, k, category, count(*) AS n, round(avg(turn_recall), 6) AS turn_recall, round(avg(session_hit), 6) AS session_hit FROM l GROUP BY 1, 2, 3 UNION ALL SELECT arm, k, 0, count(*), round(avg(turn_recall), 6), round(avg(session_hit), 6) FROM l GROUP BY 1, 2")
+def locomo_summary(spark, sf_dir):
+    rows = _measures(spark, sf_dir).selectExpr("*", "'a' || (query % 3) AS arm", "query % 2 AS k", "1 + query % 4 AS category")
+    return H.locomo_summary(rows, ["turn_recall", "session_hit"]).select("arm", "k", "category", "n", *_six(["turn_recall", "session_hit"]))
+
+
+@query(f"WITH b AS ({CONV_DUCK}), g AS (SELECT DISTINCT session_key, byte_offset FROM b WHERE seq % 3 = 0) SELECT session_key, byte_offset, rank FROM (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY byte_offset) AS rank FROM g) WHERE rank <= 3")
+def arm_reference(spark, sf_dir):
+    return H.arm_reference(blocks(spark, sf_dir).where("seq % 3 = 0"), "session_key", "byte_offset", 3).select("session_key", "byte_offset", "rank")
+
+
+@query("SELECT conv_id AS query, turn AS rank FROM conversations WHERE 1 = 0")
+def arm_none(spark, sf_dir):
+    return H.arm_none(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query"), F.col("turn").alias("rank")))
+
+
+_ASKED_OF = "SELECT 'q' || (conv_id % 10) || CASE WHEN conv_id % 10 = 7 THEN '_abs' ELSE '' END AS question, conv_id AS session, conv_id % 3 = 0 AS answer_session, role, turn % 4 = 0 AS has_answer FROM {t}"
+
+
+@query(f"WITH t AS ({_ASKED_OF.replace('{t}', 'conversations')}) SELECT 'plain' AS protocol, question, session FROM t WHERE answer_session GROUP BY ALL UNION ALL SELECT 'evidence', question, session FROM t WHERE answer_session AND question NOT LIKE '%\\_abs' ESCAPE '\\' GROUP BY ALL HAVING bool_or(role = 'user' AND has_answer)")
+def gold_sessions(spark, sf_dir):
+    t = mapped(spark, sf_dir, "conversations", _ASKED_OF)
+    both = [H.gold_sessions(t, p).select(F.lit(p).alias("protocol"), "question", "session") for p in ("plain", "evidence")]
+    return both[0].unionByName(both[1])
+
+
+#: Turns of two blocks: what a tool said or what is asked of one, and a text.
+_TOOLS = """SELECT 'c' || conv_id AS session_id, turn AS seq, 0 AS block_seq, CASE WHEN turn % 2 = 0 THEN 'assistant' ELSE 'user' END AS role, CASE WHEN turn % 2 = 0 THEN 'tool_use' ELSE 'tool_result' END AS kind, length(COALESCE(text, '')) % 3 = 0 AS failed, 'run ' || (length(COALESCE(text, '')) % 2) AS prose, conv_id || '-' || turn || '-0' AS block_id FROM {t}
+ UNION ALL SELECT 'c' || conv_id, turn, 1, CASE WHEN turn % 2 = 0 THEN 'assistant' ELSE 'user' END, 'text', true, 'x', conv_id || '-' || turn || '-1' FROM {t}"""
+_TOOLS_DUCK = _TOOLS.replace("{t}", "conversations")
+
+
+@query(f"""WITH b AS ({_TOOLS_DUCK}), f AS (SELECT session_id, seq FROM b WHERE role = 'user' AND kind = 'tool_result' AND failed), n AS (SELECT f.session_id, f.seq AS failed_at, (SELECT min(seq) FROM b WHERE b.session_id = f.session_id AND b.seq > f.seq AND b.role = 'assistant') AS seq FROM f)
+SELECT b.session_id, b.block_id, max(failed_at) AS failed_at FROM n JOIN b USING (session_id, seq) GROUP BY 1, 2""")
+def post_failure_blocks(spark, sf_dir):
+    return H.after_failure(mapped(spark, sf_dir, "conversations", _TOOLS)).select("session_id", "block_id", "failed_at")
+
+
+@query(f"""WITH b AS ({_TOOLS_DUCK}), f AS (SELECT session_id, seq FROM b WHERE role = 'user' AND kind = 'tool_result' AND failed), n AS (SELECT DISTINCT f.session_id, (SELECT min(seq) FROM b WHERE b.session_id = f.session_id AND b.seq > f.seq AND b.role = 'assistant') AS seq FROM f)
+SELECT 'naive' AS baseline, session_id, 'reversal' AS decision, block_id FROM n JOIN b USING (session_id, seq) WHERE block_seq = 0
+UNION ALL SELECT 'leak', a.session_id, 'reversal', a.block_id FROM b a JOIN b u ON u.session_id = a.session_id AND u.seq = a.seq - 1 AND u.kind = 'tool_result' AND u.failed JOIN b c ON c.session_id = a.session_id AND c.seq = a.seq - 2 AND c.kind = 'tool_use' WHERE a.kind = 'tool_use' AND a.prose <> c.prose""")
+def baselines(spark, sf_dir):
+    b = mapped(spark, sf_dir, "conversations", _TOOLS)
+    out = [f(b).select(F.lit(name).alias("baseline"), "session_id", "decision", "block_id") for name, f in (("nothing", H.baseline_nothing), ("naive", H.baseline_naive), ("leak", H.baseline_leak))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+_CASES = "SELECT doc_id % 7 = 0 AS aside, doc_id % 4 = 0 AS machine, CASE WHEN quality = 1 THEN 'directive' WHEN toxic = 1 THEN 'reversal' END AS want, CASE WHEN doc_id % 3 = 0 THEN 'directive' WHEN doc_id % 5 = 0 THEN 'reversal' END AS got FROM {t}"
+_CASES_DUCK = _CASES.replace("{t}", "labels")
+
+
+@query(f"SELECT count(*) FILTER (NOT aside AND want IS NOT DISTINCT FROM got) AS class_ok, count(*) FILTER (NOT aside) AS class_n, count(*) FILTER (aside AND want IS NOT DISTINCT FROM got) AS aside_ok, count(*) FILTER (aside) AS aside_n FROM ({_CASES_DUCK})")
+def probe_score(spark, sf_dir):
+    return H.probe_score(mapped(spark, sf_dir, "labels", _CASES).withColumnRenamed("want", "expected"))
+
+
+@query(f"""WITH c AS (SELECT count(*) FILTER (NOT aside AND got = 'directive' AND want = 'directive') AS tp, count(*) FILTER (NOT aside AND got = 'directive' AND want IS DISTINCT FROM 'directive') AS fp, count(*) FILTER (NOT aside AND want = 'directive' AND got IS DISTINCT FROM 'directive') AS fn,
+count(*) FILTER (NOT aside AND machine AND got = 'directive' AND want IS DISTINCT FROM 'directive') AS machine_fp, count(*) FILTER (aside) AS aside_n, count(*) FILTER (aside AND got IS NOT NULL) AS aside_labelled FROM ({_CASES_DUCK}))
+SELECT *, round(CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp)::DOUBLE END, 6) AS "precision", round(CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn)::DOUBLE END, 6) AS recall FROM c""")
+def census_counts(spark, sf_dir):
+    got = H.census_score(mapped(spark, sf_dir, "labels", _CASES))
+    return got.withColumn("precision", F.round("precision", 6)).withColumn("recall", F.round("recall", 6))
+
+
+_HISTORY = "SELECT 'q' || (conv_id % 12) AS question, conv_id AS session, '2024-01-' || (10 + conv_id % 5) AS date, conv_id AS rank, turn AS seq, role, '  ' || COALESCE(text, '') || ' ' AS content FROM {t}"
+
+
+@query(f"""WITH t AS ({_HISTORY.replace('{t}', 'conversations')}), b AS (SELECT question, session, date, rank, string_agg(chr(10) || chr(10) || role || ': ' || regexp_replace(content, '^\\s+|\\s+$', '', 'g'), '' ORDER BY seq) AS body FROM t GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY date, rank) AS i FROM b)
+SELECT question, sha256(string_agg(chr(10) || '### Session ' || i || ':' || chr(10) || 'Session Date: ' || date || chr(10) || 'Session Content:' || chr(10) || body || chr(10), '' ORDER BY i)) AS history_sha256 FROM p GROUP BY question""")
+def qa_history(spark, sf_dir):
+    return H.qa_history(mapped(spark, sf_dir, "conversations", _HISTORY)).select("question", F.sha2("history", 256).alias("history_sha256"))
