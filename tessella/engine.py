@@ -7,17 +7,24 @@ written to a new place and named by a pointer file, so readers see the old ones
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import egress
 from tessella.functions.text import paths
-from tessella.operators import derive, detectors, store, views
+from tessella.operators import derive, detectors, proof, store, views
 from tessella.plans import search
 from tessella.sources import transcripts
 from tessella.streaming import capture
 
 
+#: Version of the tables; others are refused.
+SCHEMA = 1
+
+
 class Engine:
     def __init__(self, spark: SparkSession, home: str, agent: str = "agent-a"):
         self.spark, self.home, self.agent = spark, home.rstrip("/"), agent
@@ -28,18 +35,35 @@ class Engine:
         return capture.capture(self.spark, root, f"{self.home}/segments", f"{self.home}/checkpoint", pattern)
 
     def segments(self) -> DataFrame:
-        path = F.format_string("raw/%s/%012d-%012d.jsonl", "key", "start", "end")
-        return capture.segments_of(self.spark, f"{self.home}/segments").withColumn("path", path)
+        rows = capture.segments_of(self.spark, f"{self.home}/segments").withColumn("agent", F.lit(self.agent)).withColumn("key", F.format_string("%s/%s", "agent", "key"))
+        return rows.withColumn("path", F.format_string("raw/%s/%012d-%012d.jsonl", "key", "start", "end"))
+
+    def manifests(self) -> DataFrame:
+        """Manifests of all generations as they are now, see `proof.sealed`."""
+        order = F.array_sort(F.collect_list(F.struct("start", "path")))
+        rows = self.segments().groupBy("session_id", "generation").agg(F.max("end").alias("size"), F.max_by("prefix_sha256", "end").alias("file_sha256"), F.transform(order, lambda s: s["path"]).alias("segments"))
+        return proof.sealed(rows.withColumns({"agent": F.lit(self.agent), "compact_boundaries": F.array().cast("array<bigint>"), "source_path": F.lit(None).cast("string")}))
+
+    def seal(self) -> None:
+        """Writes the manifests; `verify` holds the store against them from now on."""
+        place = f"{self.home}/manifests/{uuid.uuid4().hex}"
+        self.manifests().write.parquet(place)
+        self._point("sealed", place)
 
     def verify(self) -> DataFrame:
-        """Findings against the proof; none means that all bytes are there."""
-        segments = self.segments()
-        files = segments.select("path", F.octet_length("content").cast("bigint").alias("length"), "content")
-        heads = segments.groupBy("key").agg(F.max("end").alias("size"), F.max_by("prefix_sha256", "end").alias("file_sha256"))
-        found = store.tiling(segments)
-        for more in (store.sizes(segments, heads), store.segment_bytes(segments, files), store.whole_hashes(segments, files, heads)):
-            found = found.unionByName(more)
-        return found
+        """Findings against the proof; none means that all bytes are there. Before the first seal there are no manifests to hold them against."""
+        rows = self.segments()
+        files = rows.select("path", F.octet_length("content").cast("bigint").alias("length"), "content")
+        place = self._pointed("sealed")
+        if place is None:
+            heads = rows.groupBy("key").agg(F.max("end").alias("size"), F.max_by("prefix_sha256", "end").alias("file_sha256"))
+            found = store.tiling(rows)
+            for more in (store.sizes(rows, heads), store.segment_bytes(rows, files), store.whole_hashes(rows, files, heads), proof.path_containment(rows)):
+                found = found.unionByName(more)
+            return found
+        manifests = self.spark.read.parquet(place)
+        listing = rows.select("path", F.lit(False).alias("link")).unionByName(manifests.select(F.col("manifest_path").alias("path"), F.lit(False).alias("link")))
+        return store.verify(rows, manifests, files, listing)
 
     def generations(self) -> DataFrame:
         """path (the generation's key), content."""
@@ -48,14 +72,22 @@ class Engine:
 
     # Tables
 
-    def _publish(self, tables: dict[str, DataFrame]) -> None:
-        place = f"{self.home}/derived/{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            df.write.parquet(f"{place}/{name}")
-        self.spark.createDataFrame([(place,)], "place string").coalesce(1).write.mode("overwrite").json(f"{self.home}/current")
+    def _point(self, name: str, place: str) -> None:
+        self.spark.range(1).select(F.lit(place).alias("place"), F.lit(SCHEMA).alias("schema")).coalesce(1).write.mode("overwrite").json(f"{self.home}/{name}")
+
+    def _pointed(self, name: str) -> str | None:
+        try:
+            row = self.spark.read.schema("place string, schema int").json(f"{self.home}/{name}").first()
+        except AnalysisException:
+            return None
+        if row and row.schema != SCHEMA:
+            raise ValueError(f"{name}: tables of schema {row.schema}, this is {SCHEMA}; index again")
+        return row.place if row else None
 
     def table(self, name: str) -> DataFrame:
-        place = self.spark.read.json(f"{self.home}/current").first().place
+        place = self._pointed("current")
+        if place is None:
+            raise FileNotFoundError("no index yet")
         return self.spark.read.parquet(f"{place}/{name}")
 
     def index(self) -> None:
@@ -66,16 +98,80 @@ class Engine:
         generation = F.regexp_extract("path", r"/g(\d+)$", 1).cast("int")
         rows = transcripts.blocks(found).withColumn("generation", generation).withColumn("session_key", F.col("path"))
         rows = rows.withColumn("paths", F.array_join(paths(F.concat_ws("\n", "prose", "tool_use", "tool_result")), "\n"))
-        rows = rows.withColumn("row_id", F.xxhash64("path", "turn_seq", "block_seq"))
         turns = transcripts.turns(found).withColumn("generation", generation).withColumn("session_key", F.col("path")).drop("blocks")
-        self._publish({"turns": turns, "blocks": rows, "events": transcripts.events(found), "skips": transcripts.skips(found), "postings": search.postings(rows).sort("term")})
+        events = transcripts.events(found).withColumn("session_key", F.col("path"))
+        place = f"{self.home}/derived/{uuid.uuid4().hex}"
+        # Row ids are given once, where rows are written: no hash can make two rows one.
+        rows.withColumn("row_id", F.monotonically_increasing_id()).write.parquet(f"{place}/blocks")
+        rows = self.spark.read.parquet(f"{place}/blocks")
+        search.postings(rows).sort("term").write.parquet(f"{place}/postings")
+        count, tokens = search.corpus(rows)
+        totals = self.spark.range(1).select(F.lit(count).cast("bigint").alias("rows"), F.lit(tokens).cast("bigint").alias("tokens"))
+        for name, df in {"turns": turns, "events": events, "skips": transcripts.skips(found), "totals": totals}.items():
+            df.write.parquet(f"{place}/{name}")
+        self._point("current", place)
+
+    def derive(self, count: int = 8) -> DataFrame:
+        """Writes ideas, timeline and graph of every generation, one row of JSON each, and returns their counts. Nothing is written if one of them holds a credential."""
+        place = f"{self.home}/artefacts/{uuid.uuid4().hex}"
+        mark = lambda name: self.table(name)
+        made = derive.artefacts(mark("blocks"), mark("turns"), mark("events"), count)
+        draft = f"{place}-draft"
+        made.write.parquet(draft)
+        made = self.spark.read.parquet(draft)
+        found = egress.leaks(detectors.scan(made.select(F.concat_ws("/", "session_key", "artefact").alias("path"), F.col("payload").cast("binary").alias("content"))))
+        leaked = found.select("path", "detector").first()
+        if leaked:
+            raise ValueError(f"{leaked.path}: holds a credential ({leaked.detector}); nothing is written")
+        made.write.partitionBy("artefact").json(place)
+        self._point("derived-current", place)
+        return derive.derive_stats(made)
+
+    def artefacts(self) -> DataFrame:
+        place = self._pointed("derived-current")
+        if place is None:
+            raise FileNotFoundError("nothing derived yet")
+        return self.spark.read.schema("session_key string, payload string, artefact string").json(place)
 
     # Answers
 
+    def _totals(self) -> tuple[int, int]:
+        row = self.table("totals").first()
+        return row.rows, row.tokens
+
     def recall(self, query: str, k: int = 10, policy: str = "latest-user") -> DataFrame:
-        blocks = self.table("blocks")
-        hits = search.search(blocks, query, k, index=self.table("postings"))
-        return search.POLICIES[policy](hits)
+        """The k best turns, in the order of a policy: one of `search.POLICIES`, or module:function. Texts are read of these only."""
+        hits = search.search(self.table("blocks"), query, k, index=self.table("postings"), totals=self._totals())
+        return search.reorder(policy)(hits)
+
+    def retriever(self) -> Callable[[str, int], list[int]]:
+        return search.retriever(self.table("blocks"), self.table("postings"), self._totals())
+
+    def _generation_rows(self) -> DataFrame:
+        """One row for each generation, as the views over generations want it."""
+        turns, blocks = self.table("turns"), self.table("blocks")
+        sizes = self.segments().groupBy(F.col("key").alias("session_key"), "session_id", "agent", "generation").agg(F.count("*").alias("segments"), F.max("end").alias("bytes"))
+        n = turns.groupBy("session_key").agg(F.count("*").alias("turns"))
+        m = blocks.groupBy("session_key").agg(F.count("*").alias("blocks"))
+        c = self.table("events").where("kind = 'compaction'").groupBy("session_key").agg(F.count("*").alias("compactions"))
+        rows = sizes.join(n, "session_key", "left").join(m, "session_key", "left").join(c, "session_key", "left").na.fill(0, ["turns", "blocks", "compactions"])
+        return rows.withColumn("parsed", F.col("turns") > 0).withColumn("skip_reason", F.when(~F.col("parsed"), "no turns"))
+
+    def corpus(self) -> DataFrame:
+        return views.corpus(self._generation_rows())
+
+    def contiguity(self) -> DataFrame:
+        return views.contiguity(self._generation_rows())
+
+    def requests(self) -> DataFrame:
+        return views.requests(self.table("turns"))
+
+    def unmeasured(self) -> DataFrame:
+        return views.unmeasured(self.spark)
+
+    def sessions(self) -> DataFrame:
+        """Newest generation of each session: agent, session_id, generation, size, key."""
+        return store.live_generations(self.manifests().select("agent", "session_id", "generation", "size", "key"))
 
     def spend(self) -> DataFrame:
         return views.spend(self.table("turns"))

@@ -54,8 +54,10 @@ def bounded_id(value: Column, limit: int = 128, head: int = 110) -> Column:
 
 
 def utc(ts: Column) -> Column:
-    """A timestamp of text that begins with a year; null where it can't be read. Text without an offset is in the session's zone, which is UTC in production."""
-    return F.when(ts.rlike(r"^\d{4}-"), F.try_to_timestamp(ts))
+    """A timestamp of text that begins with a year; null where it can't be read. Text without an offset is in UTC, whatever the session's zone."""
+    bare = ~ts.rlike(r"(?:[Zz]|[+-]\d{2}(?::?\d{2})?)$") | ts.rlike(r"^\d{4}-\d{1,2}(?:-\d{1,2})?$")
+    whole = F.when(ts.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat(ts, F.lit("T00:00:00Z"))).when(bare & ts.rlike(r"\d:\d"), F.concat(ts, F.lit("Z"))).otherwise(ts)
+    return F.when(ts.rlike(r"^\d{4}-"), F.try_to_timestamp(whole))
 
 
 def utc_format(at: Column, form: str) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -93,27 +94,36 @@ def ideas(blocks: DataFrame, count: int = 8) -> DataFrame:
     return blocks.select("session_key", "byte_offset", "block_seq", "block_id", "prose").groupBy("session_key").applyInPandas(run, f"session_key {kinds['session_key']}, place int, block_id {kinds['block_id']}, sentence string")
 
 
-_MARKUP = re.compile(r"^\s*(?:<([A-Za-z][\w-]*)\b[^>]*>.*?</\1>\s*)+$", re.S)
+#: An element of a machine: its name has a dash or an underscore. A bracketed line that opens with a letter. The preamble of a caveat, a fixed text.
+_ELEMENT = re.compile(r"<([a-z][a-z0-9]*[_-][a-z0-9_-]*)>.*?</\1>\s*", re.S)
+_NOTICE = re.compile(r"\[[A-Za-z][^\[\]\n]*\]")
+_CAVEAT = re.compile(r"Caveat: The messages below were generated by the user[^\n]*(?:\n[^\n]+)*\n?", re.I)
 
 
-def injected(text: str) -> bool:
-    """Whether a block is written by a machine: markup from end to end, a notice, or one JSON value."""
-    t = (text or "").strip()
-    if not t:
-        return False
-    if t.startswith("[Notice]") or t.lower().startswith("caveat:"):
+def injected(text: str | None) -> bool:
+    """Whether a block is written by a machine: elements from end to end, a notice, a caveat, or JSON exactly as the adapters write it."""
+    text = text or ""
+    at = 0
+    # Each element is tried where the last one ended, so the walk is linear.
+    while found := _ELEMENT.match(text, at):
+        at = found.end()
+    if (at and at == len(text)) or _NOTICE.fullmatch(text) or _CAVEAT.fullmatch(text):
         return True
-    if t[0] == "<" and t[-1] == ">" and len(t) < 1 << 20 and _MARKUP.match(t):
-        return True
-    if t[0] in "{[" and t[-1] in "}]":
-        import json
+    if text[:1] not in ("{", "["):
+        return False
+    try:
+        return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), allow_nan=False) == text
+    except (ValueError, RecursionError):
+        return False
+
+
+def injected_column(text: Column) -> Column:
+    """injected as a column, for few rows."""
 
-        try:
-            json.loads(t)
-            return True
-        except ValueError:
-            return False
-    return False
+    def each(values: pd.Series) -> pd.Series:
+        return values.map(injected).astype(bool)
+
+    return F.pandas_udf(each, "boolean")(text)
 
 
 _X = re.IGNORECASE
@@ -178,3 +188,33 @@ def graph_nodes(found: DataFrame) -> DataFrame:
     """Distinct blocks with a label, the first of repeated ones."""
     w = Window.partitionBy("block_id").orderBy("session_key", "byte_offset")
     return found.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("block_id", "decision", "session_key", "byte_offset")
+
+
+ARTEFACTS = ("ideas", "timeline", "graph")
+
+
+def artefacts(blocks: DataFrame, turns: DataFrame, events: DataFrame, count: int = 8) -> DataFrame:
+    """session_key, artefact (of ARTEFACTS), payload (JSON, null for nothing): what is derived of each generation.
+
+    blocks, turns and events have session_key; a generation without sentences, marks or decisions has empty lists.
+    """
+    named = turns.select("session_key").distinct()
+    as_list = lambda df, order, *columns: df.groupBy("session_key").agg(F.array_sort(F.collect_list(F.struct(*order, *columns))).alias("x"))
+    said = as_list(ideas(blocks.where("kind = 'text'"), count), ["place"], "block_id", "sentence")
+    mark = lambda df: df.withColumn("session_id", F.col("session_key"))
+    line = timeline(mark(turns), mark(events)).withColumnRenamed("session_id", "session_key")
+    spans = as_list(line, ["mark"], "kind", "turns")
+    found = decisions(blocks)
+    marks = as_list(found, ["byte_offset"], "block_id", "decision")
+    out = None
+    for name, rows in zip(ARTEFACTS, (said, spans, marks), strict=True):
+        one = named.join(rows, "session_key", "left").select("session_key", F.lit(name).alias("artefact"), F.coalesce(F.to_json("x"), F.lit("[]")).alias("payload"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def derive_stats(made: DataFrame) -> DataFrame:
+    """generations, ideas, marks (timeline entries but the tail) and decisions of artefacts."""
+    size = lambda name: F.coalesce(F.sum(F.when(F.col("artefact") == name, F.coalesce(F.json_array_length("payload"), F.lit(0)))), F.lit(0)).cast("bigint")
+    n = F.countDistinct("session_key").cast("bigint")
+    return made.agg(n.alias("generations"), size("ideas").alias("ideas"), (size("timeline") - F.sum(F.when(F.col("artefact") == "timeline", F.regexp_count("payload", F.lit('"kind":"tail"'))).otherwise(0))).cast("bigint").alias("marks"), size("graph").alias("decisions"))

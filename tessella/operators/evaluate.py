@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,53 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-9))
 
 
+#: Query vectors that are scored in one pass over all rows: what is sent to each task.
+QUERY_BLOCK = 2048
+
+
+def nearest(vectors: DataFrame, asked: DataFrame, key: str, vector: str, depth: int, metric: str = "cosine", block: int = QUERY_BLOCK) -> DataFrame:
+    """query, item, score (six digits) and rank up to depth: for each row of `asked` the nearest ones of `vectors`, itself left out; ties by item.
+
+    Exact. The queries go in blocks of bounded size, each by one pass over the vectors; a task multiplies matrices and
+    passes on its best `depth` for each query only, so no pair of rows is shuffled. `cosine`, or `distance` (Euclidean,
+    the smallest first). Rows without a vector neither ask nor answer.
+    """
+    spark, sign = vectors.sparkSession, 1.0 if metric == "cosine" else -1.0
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("item"), F.col(vector).cast("array<double>").alias("e"))
+    queries = asked.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("query"), F.col(vector).cast("array<double>").alias("e"))
+    n_blocks = -(-queries.count() // block)
+    out = spark.createDataFrame([], "query bigint, item bigint, score double")
+
+    def scorer(names: np.ndarray, q: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, items = np.full((len(names), 0), 0.0), np.zeros((len(names), 0), np.int64)
+            norm = np.sqrt((q * q).sum(1))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                e = np.asarray(batch.column("e").flatten(), float).reshape(batch.num_rows, -1)
+                if metric == "cosine":
+                    got = (q @ e.T) / np.maximum(norm[:, None] * np.sqrt((e * e).sum(1))[None, :], 1e-9)
+                else:
+                    got = np.stack([np.sqrt(((e - x) ** 2).sum(1)) for x in q])
+                own = np.asarray(batch.column("item"), np.int64)
+                best = np.concatenate([best, np.where(own[None, :] == names[:, None], -np.inf, sign * np.round(got, 6))], 1)
+                items = np.concatenate([items, np.broadcast_to(own, (len(names), len(own)))], 1)
+                order = np.lexsort((items, -best), axis=1)[:, :depth]
+                best, items = np.take_along_axis(best, order, 1), np.take_along_axis(items, order, 1)
+            own, place = np.nonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(items[own, place]), pa.array(sign * best[own, place])], ["query", "item", "score"])
+
+        return run
+
+    for k in range(n_blocks):
+        part = queries.where(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == k).toPandas()
+        if len(part):
+            out = out.unionByName(rows.mapInArrow(scorer(part["query"].to_numpy(np.int64), np.stack(part["e"].map(np.asarray))), "query bigint, item bigint, score double"))
+    w = Window.partitionBy("query").orderBy((F.col("score") * sign).desc(), "item")
+    return out.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= depth)
+
+
 def ranking_metrics(ranked: DataFrame, gold: DataFrame, query: str, item: str, k: int = 10, official: bool = False) -> DataFrame:
     """recall, hit, all_found, mrr and ndcg at k for each query with gold items. official: ranks 1 and 2 are discounted alike."""
     hits = ranked.where(F.col("rank") <= k).select(query, item, "rank").join(gold.select(query, item).distinct(), [query, item])
@@ -66,10 +116,21 @@ def precision_recall(counts: DataFrame, by: list[str] | None = None) -> DataFram
 
 
 def deranged(questions: DataFrame, group: str, key: str, column: str) -> DataFrame:
-    """Each row with another row's value of the same group, in the order of the keys' hashes; the last one gets the first."""
-    w = Window.partitionBy(group).orderBy(F.sha2(F.col(key).cast("string"), 256))
+    """Each row with another row's value of the same group, in the order of the keys' hashes; the last one gets the first.
+
+    Groups of one make a group together; a single one of them joins the largest other group. So no row gets its
+    own, unless it is the only row, which gets null.
+    """
+    sizes = questions.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    # One row for each group: their number is that of the question types.
+    most = sizes.agg(F.sum((F.col("_n") == 1).cast("int")).alias("_ones"), F.max(F.when(F.col("_n") > 1, F.struct("_n", F.col("_g").cast("string").alias("g"))))["g"].alias("_largest"))
+    merged = sizes.join(F.broadcast(most)).select("_g", F.when(F.col("_n") > 1, F.col("_g").cast("string")).when(F.col("_ones") > 1, F.lit("\x00")).otherwise(F.coalesce("_largest", F.lit("\x00"))).alias("_set"))
+    rows = questions.join(merged, questions[group].eqNullSafe(merged["_g"])).drop("_g")
+    w = Window.partitionBy("_set").orderBy(F.sha2(F.col(key).cast("string"), 256), key)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return questions.withColumn("other", F.coalesce(F.lead(column).over(w), F.first(column).over(whole)))
+    alone = F.count("*").over(Window.partitionBy("_set")) == 1
+    following = F.lead(F.struct(column)).over(w)
+    return rows.withColumn("other", F.when(~alone, F.coalesce(following, F.first(F.struct(column)).over(whole))[column])).drop("_set")
 
 
 #: Pairs up to which the test goes through every sign.

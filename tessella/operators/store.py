@@ -69,11 +69,22 @@ def unrecorded(segments: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(segments, "path", "left_anti").select(F.regexp_extract("path", r"raw/(.+)/[^/]+$", 1).alias("key"), F.lit("unrecorded file").alias("check"), F.col("path").alias("detail"))
 
 
-def verify(segments: DataFrame, manifests: DataFrame, files: DataFrame) -> DataFrame:
-    """All findings. No rows: every generation is whole, and the chain holds."""
+def verify(segments: DataFrame, manifests: DataFrame, files: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """All findings. No rows: every generation is whole, the chain holds, manifests are what they should be, and nothing lies where it shouldn't.
+
+    manifests have a body for the check of types; listing (path, link) is of the whole store, if there is one.
+    """
+    from tessella.operators import proof
+
+    found = [sizes(segments, manifests), segment_bytes(segments, files), whole_hashes(segments, files, manifests), chain(manifests), identity(manifests), unrecorded(segments, files), proof.path_containment(segments)]
+    if "body" in manifests.columns:
+        found.append(proof.manifest_types(manifests))
+        found.append(manifests.where(F.sha2("body", 256) != F.col("manifest_sha256")).select("key", F.lit("manifest hash").alias("check"), F.col("manifest_path").alias("detail")))
+    if listing is not None:
+        found.append(proof.unattested(listing, manifests))
     out = tiling(segments)
-    for found in (sizes(segments, manifests), segment_bytes(segments, files), whole_hashes(segments, files, manifests), chain(manifests), identity(manifests), unrecorded(segments, files)):
-        out = out.unionByName(found)
+    for more in found:
+        out = out.unionByName(more)
     return out
 
 

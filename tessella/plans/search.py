@@ -7,9 +7,11 @@ are its terms and two numbers for each (at most TERMS), whatever the corpus' siz
 
 from __future__ import annotations
 
+import importlib
 import math
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,13 +91,32 @@ def best_blocks(scored: DataFrame) -> DataFrame:
     return scored.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
+#: What ranks a hit. Texts are fetched for the best k only.
+SLIM = ("row_id", "turn_id", "agent", "session_id", "generation", "block_seq", "session_key", "byte_offset")
+ORDER = ("score", "session_key", "byte_offset", "block_seq")
+
+
 def search(blocks: DataFrame, query: str, k: int = 10, weights: dict[str, float] = WEIGHTS, index: DataFrame | None = None, totals: tuple[int, int] | None = None) -> DataFrame:
-    """The k best turns in a total order, with `rank` from 1."""
-    hits = best_blocks(scores(blocks, query, weights, index, totals).join(blocks, "row_id"))
-    order = ["score", "session_key", "byte_offset", "block_seq"]
-    top = hits.orderBy(*order).limit(max(k, 0))
-    # At most k rows are ranked, after the limit.
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    """The k best turns in a total order, with `rank` from 1.
+
+    With a stored index and totals no text is read but that of k rows: hits are ranked by the columns of SLIM,
+    and the best are read by their row ids, which a table sorted by them finds by its statistics.
+    """
+    hits = best_blocks(scores(blocks, query, weights, index, totals).join(blocks.select(*SLIM), "row_id"))
+    top = hits.orderBy(*ORDER).limit(max(k, 0)).select("row_id", "score").collect()
+    rows = blocks.where(F.col("row_id").isin([r.row_id for r in top]) if top else F.lit(False))
+    score = F.element_at(F.create_map(*(F.lit(x) for r in top for x in (r.row_id, r.score))), F.col("row_id")) if top else F.lit(0.0)
+    # At most k rows are ranked.
+    return rows.withColumn("score", score).withColumn("rank", F.row_number().over(Window.orderBy(*ORDER)).cast("bigint"))
+
+
+def retriever(blocks: DataFrame, index: DataFrame | None = None, totals: tuple[int, int] | None = None, weights: dict[str, float] = WEIGHTS) -> Callable[[str, int], list[int]]:
+    """A function from a question and k to the byte offsets of the best turns, best first."""
+
+    def ask(query: str, k: int = 10) -> list[int]:
+        return [r.byte_offset for r in search(blocks, query, k, weights, index, totals).select("byte_offset", "rank").orderBy("rank").collect()]
+
+    return ask
 
 
 def latest(hits: DataFrame) -> DataFrame:
@@ -103,15 +124,35 @@ def latest(hits: DataFrame) -> DataFrame:
 
 
 def latest_user(hits: DataFrame) -> DataFrame:
-    """What users typed, newest first, then the rest."""
-    typed = (F.col("role") == "user") & (F.col("kind") == "text")
-    return _reranked(hits, F.coalesce(typed, F.lit(False)).desc(), T.utc(F.col("ts")).desc_nulls_last())
+    """What users typed, newest first, then the rest. What a machine wrote into a user's turn isn't typed."""
+    from tessella.operators.derive import injected_column
+
+    user = F.coalesce((F.col("role") == "user") & (F.col("kind") == "text"), F.lit(False))
+    return _reranked(hits.withColumn("_typed", user & ~injected_column(F.col("prose"))), F.col("_typed").desc(), T.utc(F.col("ts")).desc_nulls_last()).drop("_typed")
 
 
 def relevance(hits: DataFrame) -> DataFrame:
     return _reranked(hits)
 
 
+def custom(name: str) -> Callable[[DataFrame], DataFrame]:
+    """A policy that is named `module:function`: it takes the hits by rank and returns those it keeps with a column `order`."""
+    module, _, function = name.partition(":")
+    if not module or not function:
+        raise ValueError(f"{name!r}: a policy is one of {', '.join(POLICIES)} or module:function")
+    chosen = getattr(importlib.import_module(module), function)
+
+    def policy(hits: DataFrame) -> DataFrame:
+        kept = chosen(hits)
+        return _reranked(kept, F.col("order").asc_nulls_last()).drop("order")
+
+    return policy
+
+
+def reorder(name: str) -> Callable[[DataFrame], DataFrame]:
+    return POLICIES.get(name) or custom(name)
+
+
 POLICIES = {"latest": latest, "latest-user": latest_user, "relevance": relevance}
 
 
@@ -121,5 +162,5 @@ def _reranked(hits: DataFrame, *order: Column) -> DataFrame:
 
 
 def recall(blocks: DataFrame, query: str, k: int = 10, policy: str = "latest-user") -> DataFrame:
-    hits = POLICIES[policy](search(blocks, query, k))
+    hits = reorder(policy)(search(blocks, query, k))
     return hits.select("place", "rank", "session_key", "byte_offset", T.utc_format(T.utc(F.col("ts")), "yyyy-MM-dd'T'HH:mm'Z'").alias("at"), T.recall_line(F.col("prose")).alias("line"))

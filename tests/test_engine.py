@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from tessella.engine import Engine, read_span
 from tessella.functions import text as T
+from tessella.operators import store
 from tessella.sources import benchmarks
 
 
@@ -33,6 +34,28 @@ def test_from_bytes_to_answers(spark, tmp_path):
     assert [n.decision for n in nodes.orderBy("byte_offset").collect()] == ["directive", "reversal"] and edges.count() == 1
     assert e.timeline().first().turns == 4 and e.ideas(1).count() == 1
 
+    e.seal()
+    assert e.verify().count() == 0
+    m = e.manifests().first()
+    assert json.loads(m.body)["size"] == len(data) and m.manifest_path == f"sessions/agent-a/{m.session_id}/g00.json"
+    assert e.recall("zebra", policy="policies_for_tests:oldest").count() == 2
+    with pytest.raises(ValueError):
+        e.recall("zebra", policy="nonsense")
+    assert e.retriever()("zebra", 1) == [hits[0].byte_offset] if hits[0].rank == 1 else [hits[1].byte_offset]
+    stats = e.derive().first()
+    assert (stats.generations, stats.marks, stats.decisions) == (1, 0, 2) and e.artefacts().count() == 3
+    assert e.corpus().first().turns == 4 and e.contiguity().first().segments == 1 and e.requests().count() == 1 and e.unmeasured().count() > 0 and e.sessions().count() == 1
+    # More bytes than the seal says, and a manifest that was changed by hand.
+    with open(f"{tmp_path}/in/log.jsonl", "a") as f:
+        f.write('{"type": "user"}\n')
+    e.capture(f"{tmp_path}/in").awaitTermination(120)
+    assert "size" in {r.check for r in e.verify().collect()}
+    e.seal()
+    assert e.verify().count() == 0
+    forged = e.manifests().withColumn("body", F.regexp_replace("body", '"size":[0-9]+', '"size":true'))
+    found = {r.check for r in store.verify(e.segments(), forged, e.segments().select("path", "content")).collect()}
+    assert found == {"manifest type", "manifest hash"}
+
 
 def test_benchmarks(spark, tmp_path):
     one = {"question_id": "q1", "question_type": "t", "question": "?", "answer": "a", "question_date": "d", "haystack_dates": ["x"], "haystack_session_ids": ["s1"], "haystack_sessions": [[{"role": "user", "content": "hi", "has_answer": True}, {"role": "assistant", "content": "yo"}]], "answer_session_ids": ["s1"]}
