@@ -477,23 +477,17 @@ def asof_offset_to_turn(spark, sf_dir):
     return evaluate.asof(points, b, "session_key", "at", "byte_offset", "byte_len", "turn_id").select("point", "at", "turn_id")
 
 
-# Vectors ask for their neighbours; the asked ones are a stated query set.
-_COS = """WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id < 8), c AS (SELECT query, vec_id AS item, round(list_sum(list_transform(list_zip(e, embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / greatest(sqrt(list_sum(list_transform(e, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 1e-9), 6) AS score FROM q, embeddings WHERE query <> vec_id),
+# Vectors ask for their neighbours: every one whose id is divisible by 20, against all.
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+_DOTS = {n: _DOT.replace("{a}", a).replace("{b}", b) for n, a, b in (("ab", "e", "embedding"), ("aa", "e", "e"), ("bb", "embedding", "embedding"))}
+_COS = f"""WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT query, vec_id AS item, round({_DOTS['ab']} / greatest(sqrt({_DOTS['aa']}) * sqrt({_DOTS['bb']}), 1e-9), 6) AS score,
+round(sqrt(list_sum(list_transform(list_zip(e, embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))), 6) AS far FROM q, embeddings WHERE query <> vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM c)"""
-ASKED_VECTORS = 8
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector against a stated block of queries: each row is scored for all of them at once, without a join."""
-    from pyspark.sql import Window
-
+def _dense(spark: SparkSession, sf_dir: str, depth: int = 40, metric: str = "cosine") -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    asked = e.where(F.col("vec_id") < ASKED_VECTORS).select("vec_id", "embedding").orderBy("vec_id").collect()
-    every = F.array(*(F.struct(F.lit(q.vec_id).cast("bigint").alias("query"), F.array(*(F.lit(float(x)) for x in q.embedding)).alias("e")) for q in asked)) if asked else F.array().cast("array<struct<query:bigint,e:array<double>>>")
-    rows = e.select(F.col("vec_id").alias("item"), "embedding", F.explode(every).alias("q")).where("q.query <> item")
-    scored = rows.select("q.query", "item", F.round(evaluate.cosine(F.col("q.e"), F.col("embedding")), 6).alias("score"))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "item")
-    return scored.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    return evaluate.nearest(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", depth, metric)
 
 
 @query(_COS + " SELECT query, item, rank, score FROM r WHERE rank <= 10")
@@ -501,14 +495,12 @@ def dense_topk(spark, sf_dir):
     return _dense(spark, sf_dir).where("rank <= 10").select("query", "item", "rank", "score")
 
 
-_ARMS = _COS + ", a AS (SELECT query, item, rank FROM r WHERE rank <= 20), b AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY item) AS rank FROM r WHERE rank <= 40)"
+_ARMS = _COS + ", a AS (SELECT query, item, rank FROM r WHERE rank <= 20), b AS (SELECT query, item, rank FROM (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY far, item) AS rank FROM c) WHERE rank <= 20)"
 
 
 def _arms(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    from pyspark.sql import Window
-
-    near = _dense(spark, sf_dir).where("rank <= 40").select("query", "item", "rank")
-    return [near.where("rank <= 20"), near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("item")).cast("bigint"))]
+    """Two rankings of the same items: by angle and by distance."""
+    return [_dense(spark, sf_dir, 20, metric).select("query", "item", "rank") for metric in ("cosine", "distance")]
 
 
 @query(_ARMS + ", f AS (SELECT query, item, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2) SELECT query, item, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, item) AS rank FROM f")
@@ -525,7 +517,8 @@ _ROUNDED = "query, relevant, found, round(recall, 6) AS recall, hit, all_found,
 
 def _metrics(spark: SparkSession, sf_dir: str, official: bool) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    gold = e.withColumn("query", F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(ASKED_VECTORS))))).where("label = query % 5 and vec_id % 9 = query % 9").select("query", F.col("vec_id").alias("item"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), (F.col("vec_id") % 5).alias("label"), (F.col("vec_id") % 9).alias("r"))
+    gold = e.select(F.col("vec_id").alias("item"), "label", (F.col("vec_id") % 9).alias("r")).join(asked, ["label", "r"]).select("query", "item")
     return evaluate.ranking_metrics(_dense(spark, sf_dir), gold, "query", "item", 10, official)
 
 
