@@ -375,9 +375,24 @@ def dense_seq(spark, sf_dir):
     return usage(spark, sf_dir).select("session_id", "seq", (F.row_number().over(w) - 1).cast("bigint").alias("place"))
 
 
-@query()
+#: Conversations in which some turns are decisions by construction: the label is known.
+_SPOKEN = """CASE WHEN role = 'user' AND n % 4 = 0 THEN 'Never use the w' || seq || ' library here.' WHEN role = 'user' AND n % 4 = 1 THEN 'As I said, never use the w' || seq || ' library.' WHEN role = 'user' AND n % 4 = 2 THEN 'Should we never use w' || seq || '?'
+ WHEN role = 'assistant' AND n % 4 = 0 THEN 'Dropping w' || seq || '; let''s use a horse instead.' WHEN role = 'assistant' AND n % 4 = 1 THEN 'The horse w' || seq || ' works fine.' ELSE prose END"""
+_LABEL = "CASE WHEN n % 4 = 0 AND role = 'user' THEN 'directive' WHEN n % 4 = 0 AND role = 'assistant' THEN 'reversal' END"
+_NUMBERED = "CAST(floor(row_id / 1000000) AS BIGINT) AS n"
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = blocks(spark, sf_dir).selectExpr("*", _NUMBERED)
+    return rows.withColumn("prose", F.expr(_SPOKEN)).withColumn("block_id", F.sha2(F.concat("role", "prose"), 256))
+
+
+_SPOKEN_DUCK = f"WITH b AS (SELECT *, {_NUMBERED} FROM ({CONV_DUCK})), s AS (SELECT *, {_SPOKEN} AS said, {_LABEL} AS decision FROM b), d AS (SELECT session_key, byte_offset, sha256(role || said) AS block_id, decision FROM s WHERE decision IS NOT NULL)"
+
+
+@query(f"{_SPOKEN_DUCK} SELECT * FROM d")
 def decision_kinds(spark, sf_dir):
-    return derive.decisions(blocks(spark, sf_dir).withColumn("block_id", F.col("turn_id")))
+    return derive.decisions(_spoken(spark, sf_dir))
 
 
 @query()
@@ -385,11 +400,18 @@ def lexrank_ideas(spark, sf_dir):
     return derive.ideas(blocks(spark, sf_dir).withColumn("block_id", F.col("turn_id")), 5)
 
 
-@query()
+@query(f"{_SPOKEN_DUCK}, r AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY session_key, byte_offset) AS rn FROM d) SELECT block_id, decision, session_key, byte_offset FROM r WHERE rn = 1")
 def graph_nodes(spark, sf_dir):
     return derive.graph_nodes(decision_kinds(spark, sf_dir))
 
 
+@query(f"{_SPOKEN_DUCK}, n AS (SELECT session_key, count(*) AS decisions FROM d GROUP BY 1) SELECT count(DISTINCT session_key) AS generations, CAST(0 AS BIGINT) AS marks, CAST((SELECT sum(decisions) FROM n) AS BIGINT) AS decisions FROM b")
+def derive_stats(spark, sf_dir):
+    rows = _spoken(spark, sf_dir)
+    none = spark.createDataFrame([], "session_key string, byte_offset bigint, kind string")
+    return derive.derive_stats(derive.artefacts(rows, rows, none)).select("generations", "marks", "decisions")
+
+
 # Text
 
 @query("SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')) AS sentences, strlen(text) AS bytes FROM documents")

@@ -34,6 +34,13 @@ class Engine:
     def capture(self, root: str, pattern: str = "*.jsonl"):
         return capture.capture(self.spark, root, f"{self.home}/segments", f"{self.home}/checkpoint", pattern)
 
+    def tick(self, roots: list[str], state: str, spool: str | None = None, **options) -> list[str]:
+        """One pass over watched roots, see `capture.tick`."""
+        return capture.tick(self.spark, roots, f"{self.home}/segments", state, spool, **options)
+
+    def watch(self, roots: list[str], state: str, spool: str | None = None, **options) -> None:
+        capture.watch(self.spark, roots, f"{self.home}/segments", state, spool, **options)
+
     def segments(self) -> DataFrame:
         rows = capture.segments_of(self.spark, f"{self.home}/segments").withColumn("agent", F.lit(self.agent)).withColumn("key", F.format_string("%s/%s", "agent", "key"))
         return rows.withColumn("path", F.format_string("raw/%s/%012d-%012d.jsonl", "key", "start", "end"))

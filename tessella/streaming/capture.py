@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import glob
 import hashlib
+import json
 import os
+import stat
 import time
 from collections.abc import Callable
 
@@ -137,12 +139,70 @@ def capture(spark: SparkSession, root: str, store: str, checkpoint: str, pattern
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def watch(spark: SparkSession, root: str, store: str, checkpoint: str, pattern: str = "*.jsonl", pause: float = 5.0, stop: Callable[[], bool] = lambda: False) -> None:
-    """Captures again and again; a pass that fails doesn't end it."""
+def discover(roots: list[str], pattern: str = "*.jsonl") -> dict[str, os.stat_result]:
+    """Regular files under the roots, no links, each once whatever its names: of several the one under the deepest root, then the first by path."""
+    found: dict[tuple[int, int], tuple[int, str, os.stat_result]] = {}
+    for root in roots:
+        depth = os.path.realpath(root).count(os.sep)
+        for path in glob.glob(os.path.join(root, "**", pattern), recursive=True):
+            s = os.lstat(path)
+            if stat.S_ISREG(s.st_mode):
+                best = (-depth, os.path.abspath(path), s)
+                found[s.st_dev, s.st_ino] = min(found.get((s.st_dev, s.st_ino), best), best, key=lambda x: x[:2])
+    return {path: s for _, path, s in sorted(found.values(), key=lambda x: x[1])}
+
+
+def drain(spool: str | None) -> set[str]:
+    """Transcripts that hooks force a capture of: each firing is a file `<event>-<anything>.json` with transcript_path. Read firings are removed, broken ones too."""
+    forced = set()
+    for path in sorted(glob.glob(os.path.join(spool, "*.json"))) if spool else []:
+        try:
+            with open(path, "rb") as f:
+                body = json.load(f)
+            if os.path.basename(path).split("-")[0] in FORCED and isinstance(body, dict) and isinstance(body.get("transcript_path"), str):
+                forced.add(os.path.realpath(body["transcript_path"]))
+        except ValueError:
+            pass
+        os.unlink(path)
+    return forced
+
+
+def tick(spark: SparkSession, roots: list[str], store: str, state: str, spool: str | None = None, pattern: str = "*.jsonl", interval: float = INTERVAL, now: float | None = None) -> list[str]:
+    """One pass over several roots: sources that are due are captured together, and their paths returned.
+
+    `state` is a file on the driver's disk with what each source was like when it was captured; it is written after
+    the bytes are in the store, so a pass that fails is made again. A file that can't be read is passed over.
+    """
+    now = time.time() if now is None else now
+    forced = drain(spool)
+    try:
+        with open(state) as f:
+            before = json.load(f)
+    except (FileNotFoundError, ValueError):
+        before = {}
+    rows, seen = [], {}
+    for path, s in discover(roots, pattern).items():
+        mark = [s.st_size, s.st_mtime_ns]
+        if due(before.get(path) != mark, os.path.realpath(path) in forced, path in before, now - s.st_mtime, interval):
+            try:
+                with open(path, "rb") as f:
+                    rows.append((path, s.st_size, bytearray(f.read(s.st_size))))
+                seen[path] = mark
+            except OSError:
+                continue
+    if rows:
+        sink(spark, store)(spark.createDataFrame(rows, TAIL), 0)
+        with open(f"{state}.new", "w") as f:
+            json.dump({**before, **seen}, f)
+        os.replace(f"{state}.new", state)
+    return sorted(seen)
+
+
+def watch(spark: SparkSession, roots: list[str], store: str, state: str, spool: str | None = None, pattern: str = "*.jsonl", pause: float = 5.0, stop: Callable[[], bool] = lambda: False, passed: Callable[[list[str] | Exception], None] = lambda _: None) -> None:
+    """Passes again and again; one that fails doesn't end it and is told to `passed`, as are the paths that others captured."""
     while not stop():
         try:
-            capture(spark, root, store, checkpoint, pattern).awaitTermination()
-        except Exception:  # noqa: BLE001
-            if stop():
-                raise
+            passed(tick(spark, roots, store, state, spool, pattern))
+        except Exception as e:  # noqa: BLE001
+            passed(e)
         time.sleep(pause)
