@@ -103,8 +103,8 @@ def _measure(data: np.ndarray, offsets: np.ndarray, model_path: str) -> list[np.
     ]
 
 
-def measured(df: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = "lang") -> DataFrame:
-    """The measures of every row of df: id, lang (null without a column for it) and the columns of MEASURED.
+def measured(df: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = "lang", also: str | None = None) -> DataFrame:
+    """The measures of every row of df: id, lang (null without a column for it) and the columns of MEASURED; with `also` a struct of that name with all columns of df.
 
     Characters per token, fallback share (line feeds, tabs and returns apart) and entropy (of the most that
     so many tokens could have) are in thousandths, rounded down. A null or empty text has zeros.
@@ -112,14 +112,18 @@ def measured(df: DataFrame, model_path: str, id_column: str = "doc_id", text_col
     lang = F.col(lang_column).cast("string") if lang_column else F.lit(None).cast("string")
     kind = df.schema[id_column].dataType.simpleString()
 
+    carried = [F.struct(*(F.col(c) for c in df.columns)).alias(also)] if also else []
+    schema = f"id {kind}, lang string, {MEASURED}" + (f", {also} {df.select(*carried).schema[0].dataType.simpleString()}" if also else "")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.pieces(batches, "text"):
             out = _measure(*C.text_bytes(batch.column("text")), model_path)
             script = pa.array([SCRIPTS[k] for k in out.pop().tolist()], pa.string())
             names = ["id", "lang", *(x.split()[0] for x in MEASURED.split(", "))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), *(pa.array(x.astype(np.int64)) for x in out), script], names)
+            columns = [batch.column("id"), batch.column("lang"), *(pa.array(x.astype(np.int64)) for x in out), script]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(also)] if also else columns, [*names, also] if also else names)
 
-    got = df.select(F.col(id_column).alias("id"), lang.alias("lang"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, lang string, {MEASURED}")
+    got = df.select(F.col(id_column).alias("id"), lang.alias("lang"), F.col(text_column).alias("text"), *carried).mapInArrow(run, schema)
     return got.withColumnRenamed("id", id_column)
 
 
@@ -159,15 +163,15 @@ def bands(rows: DataFrame) -> DataFrame:
 BROADCAST_GROUPS = 20_000
 
 
-def judged(df: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = "lang") -> DataFrame:
-    """measured(df) with base_failed, `reasons` (measures outside the bands, in order) and kept.
+def judged(df: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = "lang", also: str | None = None) -> DataFrame:
+    """measured(df, …, also) with base_failed, `reasons` (measures outside the bands, in order) and kept.
 
     A text of fewer than LEAST_TOKENS tokens is judged by the base rules only. A null language falls back on
     the script. Every other text is judged by bands of its language (else script), at any size of the
     corpus: a rare length by those of the nearest lengths too, see `bands`. Equal rows each get a row;
     statistics are over all rows.
     """
-    rows = measured(df, model_path, id_column, text_column, lang_column)
+    rows = measured(df, model_path, id_column, text_column, lang_column, also)
     rows = rows.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words"))).withColumn("kind", F.coalesce("lang", F.concat(F.lit("script "), F.col("script")))).withColumn("length", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))))
     rows = rows.withColumn("grp", F.concat_ws(" ", "kind", "length"))
     rows = stored(rows, "measured")
