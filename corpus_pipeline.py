@@ -22,30 +22,38 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
 
 
-def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Exactly the rows of keyed docs whose key is among keys, in docs' columns."""
-    return docs.join(keys.select(KEY), KEY, "left_semi").drop(KEY)
+#: Keys of dropped rows that are sent to every task, 8 bytes each; more of them meet the rows in order of keys.
+BROADCAST_KEYS = 2_000_000
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of keyed docs whose key isn't among gone's, in docs' columns. Kept ones are most of the table: those dropped are joined."""
+    gone = stored(gone.select(KEY), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone.hint("merge")
+    return docs.join(gone, KEY, "left_anti").drop(KEY)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the fertility bands reject."""
-    docs = _keyed(docs)
-    return _kept(docs, quality.judged(docs, PIECES, id_column=KEY).where("kept"))
+    """Documents that neither the base rules nor the fertility bands reject. The row goes with its measures, so no verdict is joined back."""
+    return quality.judged(docs, PIECES, also="document").where("kept").select("document.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that of the smallest id, null being the largest."""
     docs = _keyed(docs)
     classes = shingle_join.classes(docs, id_column=KEY).select(KEY, "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))[KEY]
-    return _kept(docs, classes.join(docs.select(KEY, "doc_id"), KEY).groupBy("component_id").agg(first.alias(KEY)))
+    # A class of one row is its own; only rows of the others are looked at.
+    shared = classes.where(F.col("component_id") != F.col(KEY)).select("component_id").distinct()
+    rows = classes.join(shared, "component_id", "left_semi").join(docs.select(KEY, "doc_id").hint("merge"), KEY)
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))[KEY].alias("first"))
+    return _without(docs, rows.join(first, "component_id").where(F.col(KEY) != F.col("first")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark, items without an id included."""
     docs = _keyed(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _kept(docs, decontaminate.contamination(docs, benchmark, id_column=KEY).where("n_hit = 0"))
+    return _without(docs, decontaminate.contamination(docs, benchmark, id_column=KEY).where("n_hit > 0"))
 
 
 def personal_data_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
