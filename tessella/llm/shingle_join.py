@@ -5,10 +5,17 @@
    class for each. A document can only have a partner if 75 % of its shingles occur in another one.
 2. Those that remain put their shingles in order of class and hash, and keep the prefix that any two sets
    of the required overlap must share. Shared prefix entries give candidate clusters.
-3. A cluster, or each pair of tiles of a large one, is compared in one task. Tiles are cut by band of size,
-   so that only equal and neighbouring bands meet, and by a hash of the node within a band. Bit counts of
-   hashed bitmaps bound the overlap from above; what passes is intersected exactly as sorted arrays.
-   Pairs that are connected already are not compared: links are wanted as connected classes.
+3. A small cluster is compared in one task. Of a large one each band of size has a leader, with which the sets
+   of its band and the neighbouring ones are compared first, in tiles. Sets that this connects need no
+   comparison with each other: only those outside the cluster's largest class go on, to meet each other
+   and that class, in pairs of tiles. Tiles are cut by band, so that only equal and neighbouring bands
+   meet, and by a hash of the node within a band.
+4. In a tile bit counts of hashed bitmaps bound the overlap from above; what passes is intersected exactly
+   as sorted arrays. Pairs that are connected already are not compared: links are wanted as connected
+   classes.
+
+So near copies of one text, however many, cost a comparison with three leaders each. What is copied is, of a
+large cluster with r sets outside its largest class, each set about r / TILE_NODES times.
 
 A node stands for all documents with the same shingle set. Shingles and nodes are 64-bit hashes.
 """
@@ -20,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import columns as C
@@ -30,7 +37,7 @@ from tessella.llm.scratch import stored
 #: Text of a group of documents, distinct shingles of a bucket, and nodes and shingles of a tile: what one task holds.
 GROUP_BYTES = 2 << 20
 BUCKET_SHINGLES = 2 << 20
-TILE_NODES = 4096
+TILE_NODES = 1024
 TILE_SHINGLES = 4 << 20
 BITMAP_WORDS = 16
 #: Documents that hold a shingle, at least, for each class after the first.
@@ -218,7 +225,7 @@ def _meet(table: pa.Table) -> pa.Table:
 class Tile:
     """Sets of one task and the classes found among them."""
 
-    def __init__(self, node: np.ndarray, sets: list[np.ndarray], side: np.ndarray, share: int):
+    def __init__(self, node: np.ndarray, sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, share: int):
         size = np.array([len(s) for s in sets])
         order = np.lexsort((node, size))
         self.node, self.size, self.side, self.share = node[order], size[order], side[order], share
@@ -228,7 +235,8 @@ class Tile:
         self.bits = np.zeros((len(sets), BITMAP_WORDS), np.uint64)
         place = (self.flat >> np.uint64(7)) % np.uint64(64 * BITMAP_WORDS)
         np.bitwise_or.at(self.bits, (np.repeat(np.arange(len(sets)), self.size), (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
-        self.root = np.arange(len(sets))
+        #: Sets with one label are connected already.
+        self.root = np.unique(label[order], return_inverse=True)[1]
 
     def _common(self, i: int, others: np.ndarray) -> np.ndarray:
         """Exact sizes of the intersections of set i with others."""
@@ -279,12 +287,12 @@ def _compare(share: int):
         held: list[tuple] = []
 
         def done() -> pa.RecordBatch:
-            links = Tile(np.array([r[1] for r in held]), [np.frombuffer(r[3], np.uint64) for r in held], np.array([r[2] for r in held]), share).links()
+            links = Tile(np.array([r[1] for r in held]), [np.frombuffer(r[4], np.uint64) for r in held], np.array([r[2] for r in held]), np.array([r[3] for r in held]), share).links()
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], ["u", "v"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("task", "node", "side", "hashes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("task", "node", "side", "label", "hashes")), strict=True):
                 if held and held[0][0] != row[0]:
                     yield done()
                 held.append(row)
@@ -294,6 +302,73 @@ def _compare(share: int):
     return run
 
 
+def _compared(tasks: DataFrame, held: DataFrame, share: int) -> DataFrame:
+    """Links (u, v) found in tasks (task, node, g, n, side, label), stored. Partitions are as many as the sets to be compared need."""
+    tasks = stored(tasks, "tasks")
+    size = tasks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n = max(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (TILE_SHINGLES // 4)))
+    work = tasks.join(held.select("node", "g", "hashes"), ["node", "g"]).select("task", "node", "side", "label", "hashes")
+    return stored(work.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_compare(share), "u bigint, v bigint"), "links")
+
+
+def _key(kind: str, *parts: Column) -> Column:
+    return F.xxhash64(F.lit(kind), F.col("component"), *parts)
+
+
+def _row(task: Column, side: int) -> Column:
+    return F.struct(task.alias("task"), F.lit(side).alias("side"))
+
+
+def _each(n: Column) -> Column:
+    """0 to n - 1, none for 0."""
+    return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _tiles(nodes: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(nodes / TILE_NODES), F.ceil(shingles / TILE_SHINGLES))
+
+
+def _given(rows: DataFrame, tasks: Column, label: str = "node") -> DataFrame:
+    return rows.select("node", "g", "n", F.col(label).alias("label"), F.explode(tasks).alias("t")).select("t.task", "node", "g", "n", "t.side", "label")
+
+
+def _linked(holders: DataFrame, held: DataFrame, share: int) -> DataFrame:
+    """Links that span the classes of holders (node, g, n, component): sets that share a cluster."""
+    sizes = holders.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    tiled = sizes.where("c > 1").select("component", _tiles(F.col("c"), F.col("s")).alias("m"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / share) + F.lit(1e-9))
+    rows = stored(holders.join(tiled, "component").withColumn("band", band).withColumn("h", F.xxhash64("node")), "holders")
+    links = _compared(_given(rows.where("m = 1"), F.array(_row(_key("whole"), 2))), held, share)
+    large = rows.where("m > 1")
+    if large.isEmpty():
+        return links
+
+    # Leaders first: the least node of each band, against its own band and the neighbouring ones.
+    near = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
+    leaders = large.groupBy("component", "band").agg(F.min(F.struct("node", "g", "n", "m")).alias("x")).select("component", "band", "x.*")
+    led = _given(large, F.array(_row(_key("lead", F.col("band"), F.pmod("h", F.col("m"))), 0)))
+    leading = _given(leaders, F.flatten(F.transform(near, lambda b: F.transform(_each(F.col("m")), lambda k: _row(_key("lead", b, k), 1)))))
+    first = _compared(led.unionByName(leading), held, share)
+
+    # Then what is outside each cluster's largest class: among itself, and against that class.
+    known = components(first)
+    large = large.join(known.select("node", F.col("component").alias("class")), "node", "left").withColumn("label", F.coalesce("class", "node")).drop("class")
+    counts = large.groupBy("component", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    most = counts.groupBy("component").agg(F.max_by(F.struct("label", "c", "s"), F.struct("c", -F.col("label"))).alias("x"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    most = most.select("component", F.col("x.label").alias("main"), _tiles(F.col("x.c"), F.col("x.s")).alias("mm"), _tiles(F.col("c") - F.col("x.c"), F.col("s") - F.col("x.s")).alias("mr"))
+    large = stored(large.drop("m").join(most, "component"), "labelled")
+    rest, main = large.where("label <> main"), large.where("label = main")
+    salt = F.pmod("h", F.col("mr"))
+    same = F.transform(_each(F.col("mr")), lambda k: _row(_key("same", F.col("band"), F.least(salt, k), F.greatest(salt, k)), 2))
+    above = F.transform(_each(F.col("mr")), lambda k: _row(_key("next", F.col("band"), salt, k), 0))
+    below = F.transform(_each(F.col("mr")), lambda k: _row(_key("next", F.col("band") - 1, k, salt), 1))
+    # A task is a band and a tile of the rest, and a band and a tile of the class.
+    met = F.flatten(F.transform(near, lambda b: F.transform(_each(F.col("mm")), lambda k: _row(_key("main", F.col("band"), salt, b, k), 0))))
+    meet = F.flatten(F.transform(near, lambda b: F.transform(_each(F.col("mr")), lambda k: _row(_key("main", b, k, F.col("band"), F.pmod("h", F.col("mm"))), 1))))
+    second = _compared(_given(rest, F.concat(same, above, below, met), "label").unionByName(_given(main, meet, "label")), held, share)
+    return links.unionByName(first).unionByName(second)
+
+
 def classes(df: DataFrame, share: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable by links, its own included) for every row of df.
 
@@ -302,7 +377,6 @@ def classes(df: DataFrame, share: int = 75, id_column: str = "doc_id", text_colu
     link with nothing, equal rows each get a row, a null id is passed over when the smallest is taken. Ids
     are integers; extra columns are not read. Every link counts, whatever the size of a class.
     """
-    spark = df.sparkSession
     docs = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     total, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     n_groups = max(1, -(-total // GROUP_BYTES), -(-rows // 50_000))
@@ -321,23 +395,7 @@ def classes(df: DataFrame, share: int = 75, id_column: str = "doc_id", text_colu
 
     # One holder for each node of a cluster.
     holders = held.groupBy("node").agg(F.min("g").alias("g"), F.min("n").alias("n")).join(clusters, "node")
-    sizes = holders.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    tiles = F.greatest(F.ceil(F.col("c") / TILE_NODES), F.ceil(F.col("s") / TILE_SHINGLES))
-    holders = holders.join(sizes.where("c > 1").select("component", tiles.alias("m")), "component")
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / share) + F.lit(1e-9))
-    salt = F.pmod(F.xxhash64("node"), F.col("m"))
-    every = F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)
-    key = lambda kind, b, x, y: F.xxhash64(F.col("component"), F.lit(kind), b, x, y)
-    row = lambda task, side: F.struct(task.alias("task"), F.lit(side).alias("side"))
-    same = F.transform(every, lambda k: row(key("same", band, F.least(salt, k), F.greatest(salt, k)), 2))
-    above = F.transform(every, lambda k: row(key("next", band, salt, k), 0))
-    below = F.transform(every, lambda k: row(key("next", band - 1, k, salt), 1))
-    tasks = F.when(F.col("m") == 1, F.array(row(F.xxhash64("component"), 2))).otherwise(F.concat(same, above, below))
-    tasks = holders.select("node", "g", F.explode(tasks).alias("t")).select("node", "g", "t.task", "t.side")
-    work = tasks.join(held.select("node", "g", "hashes"), ["node", "g"]).select("task", "node", "side", "hashes")
-    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = work.repartition(n_tasks, "task").sortWithinPartitions("task").mapInArrow(_compare(share), "u bigint, v bigint")
-    linked = components(links)
+    linked = components(_linked(holders, held, share))
 
     lowest = sifted.groupBy("node").agg(F.min("id").alias("low")).where("node is not null")
     lowest = lowest.join(linked, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))

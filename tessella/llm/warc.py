@@ -130,6 +130,7 @@ class Reader:
         for k in range(0, size, struct.calcsize("<?qIQQ")):
             known, key, *place = struct.unpack_from("<?qIQQ", data, table + k)
             self.index.append((key if known else None, *place))
+        self.places = {k: place for k, *place in reversed(self.index)}
         self._open: tuple[int, bytes] = (-1, b"")
         self.coder = zstandard.ZstdDecompressor()
 
@@ -140,10 +141,9 @@ class Reader:
         return self._open[1]
 
     def get(self, key: int | None) -> bytes:
-        for k, f, o, n in self.index:
-            if k == key:
-                return self.frame(f)[o : o + n]
-        raise KeyError(key)
+        """The record of an identifier, the first of several."""
+        f, o, n = self.places[key]
+        return self.frame(f)[o : o + n]
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], bytes]]:
         for _, f, o, n in self.index:
