@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, personal_data, piece_codec, quality, shingle_join
@@ -17,9 +18,20 @@ ORACLE_SQL = None
 KEY = "row_key"
 
 
+#: Files whose names are sent to every task; more of them are joined by name.
+BROADCAST_FILES = 100_000
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key for each row, written once: made anew, keys could fall on other rows."""
-    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+    """docs with a key for each row that doesn't change when rows are read again: the file's place among all names and the row's in it. What isn't read from files is written first."""
+    try:
+        paths = docs.select(F.col("_metadata.file_path").alias("file")).distinct()
+    except AnalysisException:
+        return _keyed(stored(docs, "keyed"))
+    files = stored(paths.withColumn("place", F.row_number().over(Window.orderBy("file")).cast("bigint")), "files")
+    files = F.broadcast(files) if files.count() <= BROADCAST_FILES else files
+    rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rows.join(files, "file").withColumn(KEY, F.shiftleft(F.col("place"), 40) + F.col("row")).select(*docs.columns, KEY)
 
 
 #: Keys of dropped rows that are sent to every task, 8 bytes each; more of them meet the rows in order of keys.
@@ -34,14 +46,15 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the fertility bands reject. The row goes with its measures, so no verdict is joined back."""
-    return quality.judged(docs, PIECES, also="document").where("kept").select("document.*")
+    """Documents that neither the base rules nor the fertility bands reject."""
+    docs = _keyed(docs)
+    return _without(docs, quality.judged(docs, PIECES, id_column=KEY).where(~F.col("kept")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that of the smallest id, null being the largest."""
     docs = _keyed(docs)
-    classes = shingle_join.classes(docs, id_column=KEY).select(KEY, "component_id")
+    classes = stored(shingle_join.classes(docs, id_column=KEY).select(KEY, "component_id"), "classes")
     # A class of one row is its own; only rows of the others are looked at.
     shared = classes.where(F.col("component_id") != F.col(KEY)).select("component_id").distinct()
     rows = classes.join(shared, "component_id", "left_semi").join(docs.select(KEY, "doc_id").hint("merge"), KEY)
