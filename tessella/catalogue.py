@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.operators import derive, detectors, evaluate, store, views
+from tessella.operators import derive, detectors, evaluate, harness, store, views
 from tessella.plans import search as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -482,9 +482,8 @@ def secret_findings(spark, sf_dir):
 
 @query(f"SELECT bool_and(n = 0) AS allowed FROM (SELECT len(regexp_extract_all(text, '{detectors.HIGH['github_token']}')) + len(regexp_extract_all(text, '{detectors.HIGH['aws_access_key_id']}')) AS n FROM documents)")
 def egress_gate(spark, sf_dir):
-    high = [n for n in detectors.HIGH]
-    d = table(spark, sf_dir, "documents").select(*detectors.counts(F.col("text")))
-    return d.agg((F.coalesce(F.sum(sum((F.col(n) for n in high), F.lit(0))), F.lit(0)) == 0).alias("allowed"))
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    return spark.range(1).select(F.lit(detectors.gate(d.count(), detectors.scan(d))).alias("allowed"))
 
 
 # Evaluation
@@ -632,17 +631,15 @@ def post_failure_slice(spark, sf_dir):
 @query("SELECT COALESCE(lang, 'all') AS type, count(*) AS n, round(avg(CAST(quality AS DOUBLE)), 6) AS accuracy FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang), ())")
 def qa_summary(spark, sf_dir):
     both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return both.groupingSets([["lang"], []], "lang").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("accuracy")).select(F.coalesce("lang", F.lit("all")).alias("type"), "n", "accuracy")
+    return harness.qa_summary(both, "lang", F.col("quality")).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query(f"""WITH l AS ({_PRED}), c AS (SELECT count(*) FILTER (good AND quality = 1) AS tp, count(*) FILTER (good AND quality = 0) AS fp, count(*) FILTER (NOT good AND quality = 1) AS fn, count(*) FILTER (good AND toxic = 1 AND quality = 0) AS toxic_fp FROM l)
 SELECT *, round(CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END, 6) AS "precision", round(CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END, 6) AS recall FROM c""")
 def census_score(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").select("quality", "toxic", ((F.col("doc_id") * 7) % 5 > 0).alias("good"))
-    n = lambda c: F.count(F.when(F.expr(c), 1))
-    counts = rows.agg(n("good and quality = 1").alias("tp"), n("good and quality = 0").alias("fp"), n("not good and quality = 1").alias("fn"), n("good and toxic = 1 and quality = 0").alias("toxic_fp"))
-    share = lambda b: F.round(F.coalesce(F.try_divide("tp", F.col("tp") + F.col(b)), F.lit(1.0)), 6)
-    return counts.withColumn("precision", share("fp")).withColumn("recall", share("fn"))
+    rows = table(spark, sf_dir, "labels").select(F.lit(False).alias("aside"), (F.col("toxic") == 1).alias("machine"), F.when(F.col("quality") == 1, "good").alias("want"), F.when((F.col("doc_id") * 7) % 5 > 0, "good").alias("got"))
+    got = harness.census_score(rows, "good")
+    return got.select("tp", "fp", "fn", F.col("machine_fp").alias("toxic_fp"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 @query(_COS + " SELECT CASE WHEN GROUPING(query) = 1 THEN -1 ELSE query END AS query, count(*) AS n, round(max(score), 6) AS best, round(avg(score), 6) AS mean FROM r WHERE rank <= 20 GROUP BY GROUPING SETS ((query), ())")
@@ -662,15 +659,24 @@ def rollup_usage(spark, sf_dir):
 
 @query("SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_hourly(spark, sf_dir):
-    """Events as a stream of files, counted by hour with a watermark; each micro-batch replaces the table."""
+    """Events as a stream of files, counted by hour. Windows that a micro-batch changed are merged into the table by their key; the watermark lets the state of old ones go."""
     import uuid
 
     schema = table(spark, sf_dir, "events").schema
-    place = f"{spark.conf.get('spark.sql.warehouse.dir')}/stream-{uuid.uuid4().hex}"
+    place = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/stream-{uuid.uuid4().hex}"
     # A pattern, as a stream takes no single file for its path.
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
     hourly = rows.withWatermark("ts", "1 hour").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     hourly = hourly.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "n", "total")
-    write = lambda df, _: df.write.mode("overwrite").parquet(f"{place}/table")
-    hourly.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{place}/table")
+    done = [-1]
+
+    def merge(df: DataFrame, batch: int) -> None:
+        # A version for each batch: one that runs twice writes the same one again.
+        old = [k for k in done if k < batch][-1]
+        if old >= 0:
+            df = df.unionByName(spark.read.parquet(f"{place}/v{old}").join(df.select("event_type", "hour"), ["event_type", "hour"], "left_anti"))
+        df.write.mode("overwrite").parquet(f"{place}/v{batch}")
+        done.append(batch)
+
+    hourly.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/v{done[-1]}")
