@@ -6,6 +6,7 @@ longer), so memory follows the longest document and not the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +70,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, as workers wait for other operators' tasks with what they have. Nothing where the C library can't."""
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free:
+        free(0)
+
+
 def chunks(data: np.ndarray) -> np.ndarray:
     """At each byte, and at the end, the eight bytes from there on as a number; zeros follow the end."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])

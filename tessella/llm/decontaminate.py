@@ -61,6 +61,7 @@ def indexed(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             ids = batch.column("id")
             blobs = [np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()), first, hashes[starts], np.append(starts, len(hashes)), position.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array([task + k]), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in blobs)], ["segment", "ids", "id_nulls", "first", "terms", "ptr", "positions"])
+        C.trim()
 
     return df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, SEGMENT)
 

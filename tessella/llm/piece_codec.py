@@ -144,6 +144,11 @@ class PieceCodec:
         self.ids, self.n_ids = np.zeros(1 << 20, np.int32), 0
         self.start, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
+    def release(self) -> None:
+        """Ends a task: the table goes, and its memory."""
+        self._forget()
+        C.trim()
+
     def _learn(self, keys: list[bytes], texts: list[str]) -> None:
         found = self.raw.encode(texts, num_threads=1)
         flat = np.fromiter((i for x in found for i in x), np.int32)
@@ -312,6 +317,7 @@ def encoded(df: DataFrame, model_path: str, id_column: str = "doc_id", text_colu
                 out.append(pa.array(c.decode(ids, first), pa.binary()).cast(pa.string()))
             names = ["id", "n_tokens", "covered", "ids"] + ["spans"] * spans + ["decoded"] * decoded
             yield pa.RecordBatch.from_arrays(out, names)
+        c.release()
 
     got = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, schema)
     return got.withColumnRenamed("id", id_column)

@@ -118,6 +118,7 @@ def measured(df: DataFrame, model_path: str, id_column: str = "doc_id", text_col
             script = pa.array([SCRIPTS[k] for k in out.pop().tolist()], pa.string())
             names = ["id", "lang", *(x.split()[0] for x in MEASURED.split(", "))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), *(pa.array(x.astype(np.int64)) for x in out), script], names)
+        codec(model_path).release()
 
     got = df.select(F.col(id_column).alias("id"), lang.alias("lang"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, lang string, {MEASURED}")
     return got.withColumnRenamed("id", id_column)

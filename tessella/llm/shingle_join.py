@@ -298,6 +298,7 @@ def _compare(share: int):
                 held.append(row)
         if held:
             yield done()
+        C.trim()
 
     return run
 

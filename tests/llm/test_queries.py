@@ -16,6 +16,10 @@ def test_against_sql(spark, name):
     compare(spark, name, QUERIES[name], ORACLE_SQL[name], SF)
 
 
+def test_repeated_bytes_of_more_documents(spark):
+    compare(spark, "op6_suffix_dedup", QUERIES["op6_suffix_dedup"], ORACLE_SQL["op6_suffix_dedup"], "/root/testdata/sf0.01")
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_columns(spark, name):
     df = QUERIES[name](spark, SF)
