@@ -32,11 +32,16 @@ def segment_bytes(segments: DataFrame, files: DataFrame) -> DataFrame:
     return got.withColumn("check", check).where("check is not null").select("key", "check", F.col("path").alias("detail"))
 
 
+def _appended(parts: Column, field: str) -> Column:
+    """The binary field of all parts one after another, in one pass: as digits, since a fold would copy what it has for each part."""
+    return F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p[field])), ""))
+
+
 def joined(segments: DataFrame, files: DataFrame) -> DataFrame:
     """key, content: bytes of each generation in order of its segments (a generation is one file, and fits a row)."""
     rows = segments.select("key", "start", "path").join(files.select("path", "content"), "path")
     parts = F.array_sort(F.collect_list(F.struct("start", "path", "content")))
-    return rows.groupBy("key").agg(F.aggregate(parts, F.to_binary(F.lit(""), F.lit("hex")), lambda t, p: F.concat(t, p["content"])).alias("content"))
+    return rows.groupBy("key").agg(_appended(parts, "content").alias("content"))
 
 
 def whole_hashes(segments: DataFrame, files: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -107,7 +112,7 @@ def spans(requests: DataFrame, segments: DataFrame, files: DataFrame) -> DataFra
     cut = F.substring(F.col("content"), F.greatest(F.col("offset") - F.col("start"), F.lit(0)).cast("int") + 1, (F.least(F.col("end"), F.col("offset") + F.col("length")) - F.greatest(F.col("start"), F.col("offset"))).cast("int"))
     rows = near.join(files.select("path", "content"), "path").select("key", "offset", "length", "start", cut.alias("part"))
     parts = F.array_sort(F.collect_list(F.struct("start", "part")))
-    return rows.groupBy("key", "offset", "length").agg(F.aggregate(parts, F.to_binary(F.lit(""), F.lit("hex")), lambda t, p: F.concat(t, p["part"])).alias("bytes"))
+    return rows.groupBy("key", "offset", "length").agg(_appended(parts, "part").alias("bytes"))
 
 
 def session_name(path: Column) -> Column:
