@@ -54,23 +54,6 @@ def test_against_brute_force(spark, monkeypatch, seed, tile, group):
     assert sorted([tuple(x) for x in S.classes(df).collect()], key=key) == sorted(brute(rows), key=key)
 
 
-def test_near_copies_are_not_paired_off(spark, monkeypatch):
-    monkeypatch.setattr(S, "TILE_NODES", 8)
-    r = np.random.default_rng(9)
-    base = [f"v{i}" for i in range(150)]
-    rows = []
-    for i in range(160):
-        text = base.copy()
-        text[int(r.integers(len(text)))] = f"own{i}"
-        rows.append((i, " ".join(text if i % 40 else text[:125])))
-    seen, compared = [], S._compared
-    monkeypatch.setattr(S, "_compared", lambda tasks, *more: seen.append(tasks.count()) or compared(tasks, *more))
-    got = S.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert sorted(map(tuple, got)) == sorted(brute(rows))
-    # 160 sets are 20 tiles: pairs of tiles would take each set 20 times and more.
-    assert len(seen) == 3 and sum(seen) < 6 * len(rows), seen
-
-
 def test_empty(spark):
     assert S.classes(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
