@@ -54,6 +54,43 @@ def test_against_brute_force(spark, monkeypatch, seed, tile, group):
     assert sorted([tuple(x) for x in S.classes(df).collect()], key=key) == sorted(brute(rows), key=key)
 
 
+def passages(n=600):
+    """Texts that common passages hold together, with near copies of some; few of them link."""
+    r = np.random.default_rng(5)
+    pool = [" ".join(f"p{k}w{i}" for i in range(20)) for k in range(60)]
+    rows = []
+    while len(rows) < n:
+        base = r.choice(60, 8, replace=False)
+        for k in range(int(r.choice([1, 1, 3]))):
+            own = base.copy()
+            own[:k] = r.choice(60, k)
+            rows.append((len(rows), " ".join(pool[x] for x in own)))
+    return rows[:n]
+
+
+def test_large_clusters_ship_few_sets(spark, monkeypatch):
+    monkeypatch.setattr(S, "TILE_NODES", 16)
+    rows = passages()
+    written = lambda: sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(k) for k in range(x.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    before = written()
+    got = S.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(tuple(x) for x in got) == sorted(brute(rows))
+    # As whole sets in all pairs of tiles they took 10 times their bytes, even compressed.
+    sets_bytes = 8 * sum(x.n_shingles for x in got)
+    assert written() - before < 4 * sets_bytes, (written() - before) / sets_bytes
+
+
+def test_bounds_hold_between_widths():
+    r = np.random.default_rng(3)
+    pool = np.sort(r.integers(0, 1 << 63, 400).astype(np.uint64))
+    sets = [np.sort(r.choice(pool, int(n), replace=False)) for n in r.integers(1, 300, 60)]
+    tile = S.Tile(np.arange(60), sets, np.full(60, 2), np.arange(60), 75)
+    assert len(tile.block) > 3
+    for i in range(1, 60):
+        others = np.arange(i)
+        assert (tile._most(i, others) >= tile._common(i, others)).all()
+
+
 def test_empty(spark):
     assert S.classes(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
