@@ -2,9 +2,11 @@ import re
 
 import numpy as np
 import public_tokenizers as P
+from tessella.llm import shingle_join
 from tessella.llm.piece_codec import codec
 
 import corpus_pipeline
+from tests.llm.test_shingle_join import brute, passages
 
 
 def corpus(n=140):
@@ -59,3 +61,16 @@ def test_rows_are_judged_apart(spark, tmp_path):
     assert run(corpus_pipeline.decontamination, [*good, (None, bench[0][1]), (7, "a leaked passage")]) == want(good)
     rows = [(7, clean[2]), (7, clean[2]), (5, clean[2]), (None, clean[2]), (None, clean[0]), (None, clean[0]), (None, clean[1]), (9, clean[3]), (9, clean[4])]
     assert run(corpus_pipeline.near_duplicates, rows) == want([(5, clean[2]), (None, clean[0]), (None, clean[1]), (9, clean[3]), (9, clean[4])])
+
+
+def test_near_duplicates_ship_few_sets(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(shingle_join, "TILE_NODES", 16)
+    rows = passages()
+    written = lambda: sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(k) for k in range(x.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    before = written()
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).select("doc_id").collect())
+    want = brute(rows)
+    assert kept == sorted({low for _, _, low in want})
+    # As whole sets in all pairs of tiles they took 10 times their bytes.
+    assert written() - before < 4 * 8 * sum(n for _, n, _ in want), (written() - before) / (8 * sum(n for _, n, _ in want))
