@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -74,3 +75,19 @@ def test_near_duplicates_ship_few_sets(spark, monkeypatch, tmp_path):
     assert kept == sorted({low for _, _, low in want})
     # As whole sets in all pairs of tiles they took 10 times their bytes.
     assert written() - before < 4 * 8 * sum(n for _, n, _ in want), (written() - before) / (8 * sum(n for _, n, _ in want))
+
+
+def test_near_duplicates_leave_no_shuffle_files(spark, tmp_path):
+    rows = passages(200)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    listed = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    shuffled = lambda: {f.getPath(): f.length() for f in (lambda x: [x.apply(k) for k in range(x.size())])(listed()) if f.getName().startswith("shuffle_")}
+    written = lambda: sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(k) for k in range(x.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    there, before = set(shuffled()), written()
+    corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    left = lambda: sum(n for path, n in shuffled().items() if path.endswith(".data") and path not in there) / (written() - before)
+    until = time.time() + 10  # files go a little after the execution
+    while left() > 0.2 and time.time() < until:
+        time.sleep(0.2)
+    # The texts and their shingles, dealt by group and bucket, and the sets of the clusters are stored by now.
+    assert left() <= 0.2, left()
