@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
+from tessella import catalogue
 from tessella.functions import text as T
 from tessella.operators import derive, evaluate, store, views
 from tessella.plans import search as S
@@ -184,6 +186,26 @@ def test_decision_kinds(role, text, want):
     assert derive.decision_kind(text, role) == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        # Spanish denies verbs by the word that forbids things in English.
+        ("La adición de mentes no los usa, y no citaos con ella.", None), ("Ciónas, no llases ñadora.", None), ("No entiendes. Las pruebas fallan.", None),
+        ("No semicolons.", "directive"), ("Use no frameworks in the handlers.", "directive"), ("La prueba falla.\nUse no frameworks in the handlers.", "directive"), ("There are no problems with that.", None),
+    ],
+)
+def test_no_before_a_plural_forbids_in_english_only(text, want):
+    assert derive.decision_kind(text, "user") == want
+
+
+@pytest.mark.parametrize("name", ["decision_kinds"])
+def test_decision_queries_on_spanish_turns(spark, tmp_path, name):
+    said = ["La tado no los mira de y.", "De ciónas no citaos con.", "Ñiega. No llases.", None]
+    rows = [(c, t, ("user", "assistant")[t % 2], said[(c + t) % 4]) for c in range(8) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    compare(spark, name, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], str(tmp_path), "/*.parquet")
+
+
 def test_decisions_are_linear_in_long_text():
     for text in ("if " * 20_000, "I don't think " * 10_000, "a, " * 30_000, "<b>" * 20_000):
         derive.decision_kind(text, "user")
