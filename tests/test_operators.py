@@ -198,7 +198,7 @@ def test_no_before_a_plural_forbids_in_english_only(text, want):
     assert derive.decision_kind(text, "user") == want
 
 
-@pytest.mark.parametrize("name", ["decision_kinds", "derive_stats"])
+@pytest.mark.parametrize("name", ["decision_kinds", "derive_stats", "graph_nodes"])
 def test_decision_queries_on_spanish_turns(spark, tmp_path, name):
     said = ["La tado no los mira de y.", "De ciónas no citaos con.", "Ñiega. No llases.", None]
     rows = [(c, t, ("user", "assistant")[t % 2], said[(c + t) % 4]) for c in range(8) for t in range(4)]
