@@ -40,16 +40,83 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-9))
 
 
-#: Query vectors that are scored in one pass over all rows: what is sent to each task.
-QUERY_BLOCK = 2048
+#: Query vectors that are scored in one pass over all rows, and the cells of a matrix that a task has at a time, whatever a batch's rows.
+QUERY_BLOCK, CELLS = 2048, 1 << 21
+
+
+class Best:
+    """The `depth` nearest items of each query so far; rows are added in pieces, so memory is that of CELLS and of the answers.
+
+    Matrix products only tell what can't be among them; what may be is scored pair by pair, so scores don't depend on the pieces.
+    """
+
+    def __init__(self, names: np.ndarray, q: np.ndarray, depth: int, metric: str) -> None:
+        self.names, self.q, self.depth, self.metric = names, q, depth, metric
+        self.square = (q * q).sum(1)
+        self.least, self.last = np.full(len(names), -np.inf), np.full(len(names), np.iinfo(np.int64).max)
+        self.own, self.items, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, items: np.ndarray, e: np.ndarray) -> None:
+        step = max(1, CELLS // len(self.names))
+        for k in range(0, len(items), step):
+            self._piece(items[k : k + step], e[k : k + step])
+
+    def _piece(self, items: np.ndarray, e: np.ndarray) -> None:
+        rough, square = self.q @ e.T, (e * e).sum(1)
+        # Rounding to six digits moves a score by half of 1e-6, a product's error is far below 1e-12 of the squares.
+        if self.metric == "cosine":
+            rough /= np.maximum(np.sqrt(self.square)[:, None] * np.sqrt(square)[None, :], 1e-9)
+            slack = 2e-6
+        else:
+            sums = self.square[:, None] + square[None, :]
+            rough *= -2
+            rough += sums
+            sums *= 1e-12
+            # The smallest distance that the error allows.
+            rough -= sums
+            rough = -np.sqrt(np.maximum(rough, 0))
+            slack = 2e-6 + 2e-6 * np.sqrt(self.square + square[np.isfinite(square)].max(initial=0))
+        rough[items[None, :] == self.names[:, None]] = -np.inf
+        floor = self.least - slack
+        near = rough >= floor[:, None]
+        if len(items) > self.depth and np.count_nonzero(near) > self.depth * len(self.names):
+            # A piece passes on no more than its own best ones, and what the error may have in their place.
+            floor = np.fmax(floor, np.partition(np.nan_to_num(rough, nan=-np.inf), -self.depth, axis=1)[:, -self.depth] - slack)
+            near = rough >= floor[:, None]
+        near &= rough > -np.inf
+        own, col = np.nonzero(near)
+        del rough, near
+        some = max(1, (CELLS >> 3) // max(1, e.shape[1]))
+        scores = np.zeros(len(own))
+        for k in range(0, len(own), some):
+            scores[k : k + some] = self._exact(self.q[own[k : k + some]], e[col[k : k + some]])
+        scores, items = np.round(scores, 6) + 0.0, items[col]
+        keep = np.isfinite(scores) & ((scores > self.least[own]) | ((scores == self.least[own]) & (items < self.last[own])))
+        if keep.any():
+            self._merge(own[keep], items[keep], scores[keep])
+
+    def _exact(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.metric == "cosine":
+            return (a * b).sum(1) / np.maximum(np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)), 1e-9)
+        return -np.sqrt(((b - a) ** 2).sum(1))
+
+    def _merge(self, own: np.ndarray, items: np.ndarray, scores: np.ndarray) -> None:
+        own, items, scores = np.concatenate([self.own, own]), np.concatenate([self.items, items]), np.concatenate([self.scores, scores])
+        order = np.lexsort((items, -scores, own))
+        own, items, scores = own[order], items[order], scores[order]
+        place = np.arange(len(own)) - np.searchsorted(own, own)
+        keep = place < self.depth
+        full = place == self.depth - 1
+        self.least[own[full]], self.last[own[full]] = scores[full], items[full]
+        self.own, self.items, self.scores = own[keep], items[keep], scores[keep]
 
 
 def nearest(vectors: DataFrame, asked: DataFrame, key: str, vector: str, depth: int, metric: str = "cosine", block: int = QUERY_BLOCK) -> DataFrame:
     """query, item, score (six digits) and rank up to depth: for each row of `asked` the nearest ones of `vectors`, itself left out; ties by item.
 
-    Exact. The queries go in blocks of bounded size, each by one pass over the vectors; a task multiplies matrices and
-    passes on its best `depth` for each query only, so no pair of rows is shuffled. `cosine`, or `distance` (Euclidean,
-    the smallest first). Rows without a vector neither ask nor answer.
+    Exact. The queries go in blocks of bounded size, each by one pass over the vectors; a task multiplies matrices of
+    bounded size and passes on its best `depth` for each query only, so no pair of rows is shuffled. `cosine`, or
+    `distance` (Euclidean, the smallest first). Rows without a vector neither ask nor answer.
     """
     spark, sign = vectors.sparkSession, 1.0 if metric == "cosine" else -1.0
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("item"), F.col(vector).cast("array<double>").alias("e"))
@@ -59,23 +126,13 @@ def nearest(vectors: DataFrame, asked: DataFrame, key: str, vector: str, depth:
 
     def scorer(names: np.ndarray, q: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best, items = np.full((len(names), 0), 0.0), np.zeros((len(names), 0), np.int64)
-            norm = np.sqrt((q * q).sum(1))
+            best = Best(names, q, depth, metric)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                e = np.asarray(batch.column("e").flatten(), float).reshape(batch.num_rows, -1)
-                if metric == "cosine":
-                    got = (q @ e.T) / np.maximum(norm[:, None] * np.sqrt((e * e).sum(1))[None, :], 1e-9)
-                else:
-                    got = np.stack([np.sqrt(((e - x) ** 2).sum(1)) for x in q])
-                own = np.asarray(batch.column("item"), np.int64)
-                best = np.concatenate([best, np.where(own[None, :] == names[:, None], -np.inf, sign * np.round(got, 6))], 1)
-                items = np.concatenate([items, np.broadcast_to(own, (len(names), len(own)))], 1)
-                order = np.lexsort((items, -best), axis=1)[:, :depth]
-                best, items = np.take_along_axis(best, order, 1), np.take_along_axis(items, order, 1)
-            own, place = np.nonzero(np.isfinite(best))
-            yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(items[own, place]), pa.array(sign * best[own, place])], ["query", "item", "score"])
+                if batch.num_rows:
+                    best.add(np.asarray(batch.column("item"), np.int64), np.asarray(batch.column("e").flatten(), float).reshape(batch.num_rows, -1))
+            for k in range(0, len(best.own), CELLS):
+                part = slice(k, k + CELLS)
+                yield pa.RecordBatch.from_arrays([pa.array(names[best.own[part]]), pa.array(best.items[part]), pa.array(sign * best.scores[part])], ["query", "item", "score"])
 
         return run
 

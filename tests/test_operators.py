@@ -222,6 +222,29 @@ def test_injected_and_ideas(spark):
     assert derive.lexrank(["", "the"], 3) == []
 
 
+@pytest.mark.parametrize("metric", ["cosine", "distance"])
+def test_nearest_holds_pieces_of_a_batch_only(metric):
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    e = rng.normal(size=(10_000, 8))
+    e[5_000:5_050] = e[0]
+    ids = rng.permutation(len(e))
+    best = evaluate.Best(ids[:1000], e[:1000], 10, metric)
+    tracemalloc.start()
+    best.add(ids, e)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The whole matrix of scores has 80 MB, and was held several times over.
+    assert peak < 160e6
+    for k in (0, 1, 999):
+        far = -np.sqrt(((e - e[k]) ** 2).sum(1)) if metric == "distance" else e @ e[k] / np.maximum(np.sqrt((e * e).sum(1)) * np.sqrt((e[k] ** 2).sum()), 1e-9)
+        want = sorted((-x, i) for x, i in zip(np.round(far, 6), ids, strict=True) if i != ids[k])[:10]
+        assert [(-x, i) for x, i in zip(best.scores[best.own == k], best.items[best.own == k], strict=True)] == want
+
+
 def test_metrics(spark):
     ranked_ = spark.createDataFrame([("q", i, r) for r, i in enumerate([7, 3, 9, 1], 1)] + [("z", 5, 1)], "query string, item int, rank int")
     gold = spark.createDataFrame([("q", 3), ("q", 1), ("q", 42), ("z", 6)], "query string, item int")
