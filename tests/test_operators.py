@@ -222,6 +222,23 @@ def test_injected_and_ideas(spark):
     assert derive.lexrank(["", "the"], 3) == []
 
 
+def test_a_scan_holds_one_content_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+    from tessella.operators import detectors
+
+    text = b"AKIA" + b"A" * 16 + b" "
+    big = pa.record_batch({"path": [f"p{i}" for i in range(40)] + ["many", "none"], "content": pa.array([b". " * 500_000] * 40 + [text * 25_000, None], pa.binary())})
+    tracemalloc.start()
+    got = list(detectors.scan_batches(iter([big])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 40 MB of contents lie in the batch, outside of Python's objects.
+    assert peak < 25e6 and [b.num_rows for b in got] == [10_000, 10_000, 5_000]
+    assert got[2].slice(4_999).to_pylist() == [{"path": "many", "offset": 24_999 * 21, "detector": "aws_access_key_id", "tier": "high", "shape": "AKIA…[20 bytes]", "length": 20}]
+
+
 @pytest.mark.parametrize("metric", ["cosine", "distance"])
 def test_nearest_holds_pieces_of_a_batch_only(metric):
     import tracemalloc
